@@ -4,6 +4,7 @@ from newsloom.checks.base import ORACLES, QUERIES
 from newsloom.checks import (  # noqa: F401
     scalar_checks,
     session_checks,
+    table_checks,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

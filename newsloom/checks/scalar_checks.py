@@ -282,13 +282,13 @@ def b23(spark, d):
 
 
 @check("b24_time_decay", with_sql([CLICKS, CATALOG], """
-SELECT event_id, round((ts_ms // 1000 - created_at_ts // 1000) / 86400.0, 6) AS days,
+SELECT event_id, CAST(ts_ms // 1000 - created_at_ts // 1000 AS DOUBLE) / 86400 AS days,
        round(1.0 / pow(1.5, (ts_ms // 1000 - created_at_ts // 1000) / 86400.0), 6) AS decay
 FROM clicks JOIN catalog USING (article_id)"""))
 def b24(spark, d):
     joined = samples.clicks(spark, d).join(samples.catalog(spark, d), "article_id")
     new, old = F.floor(F.col("ts_ms") / 1000), F.floor(F.col("created_at_ts") / 1000)
-    return joined.select("event_id", F.round(N.days_between(new, old), 6).alias("days"),
+    return joined.select("event_id", N.days_between(new, old).alias("days"),
                          F.round(N.time_decay(new, old), 6).alias("decay"))
 
 

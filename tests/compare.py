@@ -73,7 +73,8 @@ def main():
     args = sys.argv[1:]
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = build_session(master="local[8]", shuffle_partitions=8,
-                          **{"spark.driver.memory": "16g", "spark.ui.enabled": "false"})
+                          **{"spark.driver.memory": "16g", "spark.ui.enabled": "false",
+                             "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0
