@@ -8,9 +8,10 @@ from newsloom.operators import metrics as M
 from newsloom.operators import recommenders as R
 from newsloom.operators.joins import lookup_join
 from newsloom.operators.popularity import click_buffer, recent_popularity, with_norm_pop
-from newsloom.operators.ranking import global_rank, rank_candidates
+from newsloom.operators.ranking import global_rank, rank_candidates, top_n as top_n_rows
+from newsloom.operators.state import versioned_lookup
 from newsloom.operators.sampling import build_candidates, sample_negatives
-from newsloom.operators.sessions import shift_labels
+from newsloom.operators.sessions import shift_labels, truncate_sessions
 from newsloom.schema import CLICK, KEY
 from newsloom.session import materialize
 
@@ -79,7 +80,7 @@ class EvaluationInput:
     def __init__(self, flat, clicks, k, n_negatives=50, buffer_hours=1, buffer_size=20_000,
                  batch_sessions=None, seed=42, norm_clicks=1000, keep=lambda df, name: df):
         self.tagged = keep(tag_steps(flat, k, batch_sessions), "tagged")
-        self.test = self.tagged.filter(F.col("state_step").isNotNull())
+        self.test = truncate_sessions(self.tagged.filter(F.col("state_step").isNotNull()))
         self.labels = shift_labels(self.test)
         refs = reference_times(self.test)
         raw = clicks.select("event_id", "ts_ms", F.col("article_id").alias("item_id"))
@@ -159,6 +160,30 @@ def evaluate_fold(inp, scored, top_n=10):
             .agg(F.count("*").alias("clicks"), F.avg("hit").alias("hitrate"), F.avg("rr").alias("mrr")))
 
 
+def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div"):
+    """Flagship: rules learned before each test hour, top-n next items, hit rate and MRR.
+
+    The current items of a step are looked up once each; their n best rules are
+    then joined to the clicks, so a hot article costs n rows per click.
+    """
+    tagged = tag_steps(flat, k)
+    labels = shift_labels(tagged.filter(F.col("state_step").isNotNull()))
+    active = labels.select("state_step", F.col("item_id").alias("antecedent")).distinct()
+    found = versioned_lookup(active, R.rules_state(tagged, max_dist, decay), ["antecedent"], ["consequent", "score"])
+    best = top_n_rows(found.withColumn("score", F.round("score", 9)),
+                      ["state_step", "antecedent"], "score", top_n, tie="consequent")
+    packed = best.groupBy("state_step", F.col("antecedent").alias("item_id")).agg(
+        F.collect_list(F.struct("consequent", "rank")).alias("_l"))
+    rows = lookup_join(labels.select(*CLICK, "state_step", "item_id", "label_next_item"), packed,
+                       ["state_step", "item_id"])
+    hits = F.filter(F.coalesce("_l", F.array().cast("array<struct<consequent:bigint,rank:int>>")),
+                    lambda r: r["consequent"] == F.col("label_next_item"))
+    rank = F.get(hits, 0)["rank"]
+    return rows.withColumn("_rank", rank).groupBy("state_step").agg(
+        F.count("*").alias("clicks"), F.avg(F.col("_rank").isNotNull().cast("double")).alias("hitrate"),
+        F.avg(F.coalesce(1.0 / F.col("_rank"), F.lit(0.0))).alias("mrr"))
+
+
 def cold_start(lists, flat, by=("recommender",), step="session_hour"):
     """Steps from an item's first click to its first recommendation, per recommender.
 

@@ -8,8 +8,11 @@ from newsloom.schema import KEY
 
 
 def write_sessions(df, path, fmt="parquet", mode="error"):
-    """Sessions partitioned by hour (Parquet, or JSON lines)."""
-    (df.repartition("session_hour", F.pmod(F.xxhash64(*KEY), F.lit(8)))
+    """Sessions partitioned by hour (Parquet, or JSON lines).
+
+    The rebalance hint gives small hours one file and splits a hot hour by size.
+    """
+    (df.hint("rebalance", F.col("session_hour"))
      .write.mode(mode).partitionBy("session_hour").format(fmt).save(path))
 
 
@@ -22,6 +25,8 @@ def read_session_hours(spark, path, upto=None, fmt="parquet", schema=None):
 
 def write_examples(df, path, rows_per_file=None, by=("session_hour",), mode="error"):
     """Struct-of-arrays rows, one folder per hour or files of at most N rows."""
+    if by:
+        df = df.hint("rebalance", *[F.col(c) for c in by])
     writer = df.write.mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
