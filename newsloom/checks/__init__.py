@@ -3,6 +3,8 @@
 from newsloom.checks.base import ORACLES, QUERIES
 from newsloom.checks import (  # noqa: F401
     scalar_checks,
+    evaluation_checks,
+    metric_checks,
     recommender_checks,
     session_checks,
     table_checks,

@@ -296,7 +296,7 @@ def c5(spark, d):
 SELECT l_orderkey AS user_id, array_to_string(list_transform(list_resize(list(l_partkey ORDER BY rank), 4, NULL),
    lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS items
 FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_quantity) DESC, l_partkey) AS rank
-      FROM lineitem GROUP BY ALL) WHERE rank <= 4 GROUP BY l_orderkey""")
+      FROM lineitem GROUP BY l_orderkey, l_partkey) WHERE rank <= 4 GROUP BY l_orderkey""")
 def c5_pad(spark, d):
     lines = samples.table(spark, d, "lineitem")
     scored = lines.groupBy(F.col("l_orderkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(

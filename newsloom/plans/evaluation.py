@@ -160,13 +160,13 @@ def evaluate_fold(inp, scored, top_n=10):
             .agg(F.count("*").alias("clicks"), F.avg("hit").alias("hitrate"), F.avg("rr").alias("mrr")))
 
 
-def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div"):
+def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div", batch_sessions=None):
     """Flagship: rules learned before each test hour, top-n next items, hit rate and MRR.
 
     The current items of a step are looked up once each; their n best rules are
     then joined to the clicks, so a hot article costs n rows per click.
     """
-    tagged = tag_steps(flat, k)
+    tagged = tag_steps(flat, k, batch_sessions)
     labels = shift_labels(tagged.filter(F.col("state_step").isNotNull()))
     active = labels.select("state_step", F.col("item_id").alias("antecedent")).distinct()
     found = versioned_lookup(active, R.rules_state(tagged, max_dist, decay), ["antecedent"], ["consequent", "score"])
