@@ -3,10 +3,12 @@
 from newsloom.checks.base import ORACLES, QUERIES
 from newsloom.checks import (  # noqa: F401
     scalar_checks,
+    content_checks,
     evaluation_checks,
     metric_checks,
     recommender_checks,
     session_checks,
+    stream_checks,
     table_checks,
 )
 

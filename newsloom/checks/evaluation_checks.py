@@ -70,7 +70,8 @@ SKNN = [*knn_ctes(3000, FOLD_K)[-2:],
   SELECT e.user_id, e.session_id, e.pos, b.user_id AS nu, b.session_id AS ns, b.size,
          sum(1.0 / CAST(e.pos - p.pos + 1 AS DOUBLE)) / (sqrt(e.pos) * sqrt(b.size)) AS similarity
   FROM lab e JOIN test p ON p.user_id = e.user_id AND p.session_id = e.session_id AND p.pos <= e.pos
-  JOIN bufitems b ON b.state_step = e.state_step AND b.item_id = p.item_id GROUP BY ALL)""",
+  JOIN bufitems b ON b.state_step = e.state_step AND b.item_id = p.item_id
+  GROUP BY e.user_id, e.session_id, e.pos, b.user_id, b.session_id, b.size)""",
         """near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos
       ORDER BY round(similarity, 9) DESC, ns DESC, nu DESC) AS best
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos ORDER BY ns DESC, nu DESC) AS newest FROM votes)
@@ -190,9 +191,9 @@ SELECT recommender, metric, count(value) AS steps, round(avg(value), 6) AS mean
   UNION ALL SELECT recommender, state_step, 'novelty', avg(-log2(norm_pop)) FROM rows_ GROUP BY ALL
   UNION ALL SELECT recommender, state_step, 'ild_avg', avg(v) FROM (
       SELECT recommender, state_step, user_id, session_id, pos, avg(dist) AS v FROM prs GROUP BY ALL) GROUP BY ALL
-  UNION ALL SELECT recommender, state_step, 'item_coverage', count(DISTINCT item_id) / max(n) FROM rows_ JOIN (
+  UNION ALL SELECT w.recommender, s.state_step, 'item_coverage', count(DISTINCT r.item_id) / max(n) FROM who w CROSS JOIN (
       SELECT state_step, CAST(count(*) AS DOUBLE) AS n FROM (SELECT state_step, item_id FROM test UNION SELECT state_step, item_id FROM buffer)
-      GROUP BY ALL) USING (state_step) GROUP BY ALL) GROUP BY ALL"""))
+      GROUP BY ALL) s LEFT JOIN rows_ r ON r.recommender = w.recommender AND r.state_step = s.state_step GROUP BY ALL) GROUP BY ALL"""))
 def k9(spark, d):
     long = V.run_evaluation(samples.sessions(spark, d), samples.clicks(spark, d), samples.embeddings(spark, d),
                             FOLD_K, 10, NEG, BUFFER_H)

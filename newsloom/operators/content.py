@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
+from pyspark import StorageLevel
 from pyspark.sql import Window, functions as F
 
 from newsloom.functions.text import tokenize
@@ -14,6 +15,7 @@ from newsloom.operators.encoders import _reserved
 from newsloom.operators.joins import lookup_join
 from newsloom.operators.ranking import global_rank
 from newsloom.schema import UNKNOWN_TOKEN
+from newsloom.session import materialize
 
 
 def tokenize_articles(articles, id_col, text_col, lower_first=False, max_words=None, lower=False):
@@ -140,7 +142,9 @@ def lsa_embeddings(tokens, id_col, k=250, max_df=0.4, min_df=2, max_terms=50_000
     weighted = ElementwiseProduct(scalingVec=smooth, inputCol="_tf", outputCol="_w").transform(counts)
     unit = Normalizer(p=2.0, inputCol="_w", outputCol="_u").transform(weighted)
     rows = unit.select(F.col(id_col).cast("long").alias("index"), F.col("_u").alias("vector"))
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector"))
+    # The SVD reads its rows once per iteration: write them once and keep them in memory.
+    rows = MLUtils.convertVectorColumnsFromML(materialize(rows, "lsa-rows"), "vector")
+    matrix = IndexedRowMatrix(rows.persist(StorageLevel.MEMORY_AND_DISK))
     svd = matrix.computeSVD(min(k, int(matrix.numCols()) - 1), computeU=True)
     left = MLUtils.convertVectorColumnsToML(svd.U.rows.toDF(["index", "vector"]), "vector")
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(svd.s.toArray()), inputCol="vector",

@@ -62,7 +62,8 @@ def same(spark, con, fn, sql, folder):
             return False, f"types of {name}: {kinds}", len(mine[1])
     bad = [(a, b) for a, b in zip(mine[1], theirs[1]) if a != b]
     if bad:
-        return False, f"{len(bad)} differ, first {bad[0]}", len(mine[1])
+        a, b = set(mine[1]), set(theirs[1])
+        return False, f"{len(bad)} differ; mine only {sorted(a - b, key=str)[:3]}, theirs only {sorted(b - a, key=str)[:3]}", len(mine[1])
     return True, "", len(mine[1])
 
 
