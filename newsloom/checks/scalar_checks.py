@@ -104,7 +104,7 @@ def b5(spark, d):
 
 @check("b6_strip_accents", "SELECT doc_id, md5(strip_accents(text)) AS h FROM documents")
 def b6(spark, d):
-    return samples.table(spark, d, "documents").select(
+    return samples.documents(spark, d).select(
         "doc_id", F.md5(X.strip_accents("text").cast("binary")).alias("h"))
 
 
@@ -114,7 +114,7 @@ SELECT doc_id, source, lang FROM (
   FROM documents WHERE lang NOT IN ('de') AND source NOT IN ('src1') AND n_chars IS NOT NULL)
 WHERE rn = 1""")
 def b7(spark, d):
-    docs = samples.table(spark, d, "documents")
+    docs = samples.documents(spark, d)
     kept = C.clean_clicks(docs, deny={"lang": ["de"], "source": ["src1"]}, required=["n_chars"])
     return C.first_per_id(kept, "text", ["doc_id"]).select("doc_id", "source", "lang")
 
@@ -137,7 +137,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS publishtime
        CASE WHEN lang = source THEN lang ELSE lang || '. ' || source END AS heading
 FROM documents""")
 def b9(spark, d):
-    docs = samples.table(spark, d, "documents").select(
+    docs = samples.documents(spark, d).select(
         "doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("publishtime"),
         F.col("source").alias("createtime"),
         F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("author"),
@@ -200,7 +200,7 @@ def b14(spark, d):
 @check("b15_assemble_text", """
 SELECT doc_id, md5(replace(replace(lang || ' | ' || source || ' |  | ' || text, '"', ''), chr(173), '')) AS h FROM documents""")
 def b15(spark, d):
-    docs = samples.table(spark, d, "documents")
+    docs = samples.documents(spark, d)
     text = X.assemble_text(["lang", "source", F.lit(None).cast("string"), "text"])
     return docs.select("doc_id", F.md5(text.cast("binary")).alias("h"))
 
@@ -228,7 +228,7 @@ def b16(spark, d):
 
 @check("b17_clean_text", f"SELECT doc_id, md5({clean_sql('text')}) AS h FROM documents")
 def b17(spark, d):
-    return samples.table(spark, d, "documents").select(
+    return samples.documents(spark, d).select(
         "doc_id", F.md5(X.clean_text("text").cast("binary")).alias("h"))
 
 
@@ -237,7 +237,7 @@ SELECT doc_id, md5(array_to_string(list_transform(list_slice(list_filter({sent('
     lambda s: length(s) - length(replace(s, ' ', '')) >= 3 AND right(s, 1) IN ('.', '!', '?', ';')), 1, 8),
     lambda s: {clean_sql('s')}), ' ')) AS h FROM documents""")
 def b18(spark, d):
-    return samples.table(spark, d, "documents").select(
+    return samples.documents(spark, d).select(
         "doc_id", F.md5(X.first_sentences("text").cast("binary")).alias("h"))
 
 
@@ -247,7 +247,7 @@ SELECT doc_id, array_to_string(list_slice(flatten(list_slice(list_filter(
     lambda t: len(t) >= 3 AND t[-1] IN ('.', '!', '?', ';') AND t <> ['Saken', 'oppdateres', '.']), 1, 12)),
     1, 1000), ' ') AS tokens FROM documents""")
 def b19(spark, d):
-    return samples.table(spark, d, "documents").select(
+    return samples.documents(spark, d).select(
         "doc_id", F.array_join(X.sentence_tokens("text"), " ").alias("tokens"))
 
 
@@ -257,7 +257,7 @@ SELECT doc_id, md5(array_to_string(list_transform(t, lambda x, i:
     CAST(len(t) AS BIGINT) AS n
 FROM (SELECT doc_id, {tok('text')} AS t FROM documents)""")
 def b20(spark, d):
-    tokens = Z.tokenize_articles(samples.table(spark, d, "documents"), "doc_id", "text", lower_first=True)
+    tokens = Z.tokenize_articles(samples.documents(spark, d), "doc_id", "text", lower_first=True)
     return tokens.select("doc_id", F.md5(F.array_join("tokens", " ").cast("binary")).alias("h"),
                          F.size("tokens").cast("long").alias("n"))
 

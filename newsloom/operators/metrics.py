@@ -134,7 +134,7 @@ def pair_categories(pairs, catalog, id_col="article_id", cat_col="category_id"):
 
 
 def click_diversity(pairs, labels, n, by=(), rel_neg=0.02):
-    """One row per labelled click with every intra-list diversity score.
+    """One row per labelled click with every intra-list diversity score but the median.
 
     ``pairs`` carry rank/item i and j, ``dist`` and optionally ``cat_dist``.
     Outer sums run over list places before n; inner weights fall with the
@@ -160,7 +160,6 @@ def click_diversity(pairs, labels, n, by=(), rel_neg=0.02):
         F.sum(F.when(later, d)).alias("sum_after"),
         F.sum(later.cast("int")).alias("n_after"),
         F.min(F.when(later, d)).alias("min_after"),
-        F.collect_list(F.when(later, d)).alias("all_after"),
         (F.sum(d * w) / F.sum(w)).alias("inner_all"),
         (F.sum(c * w) / F.sum(w)).alias("inner_cat"),
         (F.sum(F.when(later, d * w * F.col("rel_other")))
@@ -168,20 +167,24 @@ def click_diversity(pairs, labels, n, by=(), rel_neg=0.02):
     disc = F.when(F.col("r") < n, rank_discount("r"))
     mean_after = F.col("sum_after") / F.col("n_after")
     dd = F.when(F.col("n_after") > 0, disc)
-    ordered = F.array_sort(F.flatten(F.collect_list("all_after")))
-    per_click = per_place.groupBy(*by, *CLICK).agg(
+    return per_place.groupBy(*by, *CLICK).agg(
         (F.sum("sum_after") / F.sum("n_after")).alias("ild_avg"),
         F.min("min_after").alias("ild_min"),
-        ordered.alias("_d"),
         (F.sum(mean_after * dd) / F.sum(dd)).alias("eild_r_v2"),
         (F.sum(F.col("inner_all") * disc) / F.sum(disc)).alias("eild_r"),
         (F.sum(F.col("inner_rel") * dd * F.col("rel")) / F.sum(dd)).alias("eild_rr"),
         (F.sum(mean_after * dd * F.col("rel")) / F.sum(dd)).alias("eild_rr_v2"),
         (F.sum(F.col("inner_cat") * disc) / F.sum(disc)).alias("category_eild"))
+
+
+def click_median(pairs, labels, by=()):
+    """Median pair distance of each labelled click's list (at most n(n-1)/2 values)."""
+    by = list(by)
+    rows = pairs.join(labels.select(*by, *CLICK), by + CLICK, "left_semi")
+    sorted_rows = rows.groupBy(*by, *CLICK).agg(F.sort_array(F.collect_list("dist")).alias("_d"))
     m = F.size("_d")
-    lower = F.get("_d", F.floor((m - 1) / 2).cast("int"))
-    upper = F.get("_d", F.floor(m / 2).cast("int"))
-    return per_click.withColumn("ild_median", (lower + upper) / 2).drop("_d")
+    lower, upper = (F.get("_d", F.floor(x).cast("int")) for x in ((m - 1) / 2, m / 2))
+    return sorted_rows.select(*by, *CLICK, ((lower + upper) / 2).alias("ild_median"))
 
 
 DIVERSITY = ["ild_avg", "ild_median", "ild_min", "eild_r_v2", "eild_r", "eild_rr",
@@ -193,13 +196,20 @@ def diversity(preds, labels, emb, n, by=(), catalog=None, rel_neg=0.02):
     pairs = pair_distances(list_pairs(preds, n, by), emb)
     if catalog is not None:
         pairs = pair_categories(pairs, catalog)
-    scores = click_diversity(pairs, labels, n, by, rel_neg)
-    return scores.groupBy(*by).agg(*[F.avg(m).alias(m) for m in DIVERSITY])
+    means = [m for m in DIVERSITY if m != "ild_median"]
+    scores = click_diversity(pairs, labels, n, by, rel_neg).groupBy(*by).agg(*[F.avg(m).alias(m) for m in means])
+    median = click_median(pairs, labels, by).groupBy(*by).agg(F.avg("ild_median").alias("ild_median"))
+    # One row per group on both sides.
+    return scores.join(median, list(by)) if by else scores.withColumn(
+        "ild_median", median.select("ild_median").scalar())
 
 
 def _one(metric):
     def single(preds, labels, emb, n, by=(), rel_neg=0.02):
-        return diversity(preds, labels, emb, n, by, rel_neg=rel_neg).select(*by, metric)
+        pairs = pair_distances(list_pairs(preds, n, by), emb)
+        scores = (click_median(pairs, labels, by) if metric == "ild_median"
+                  else click_diversity(pairs, labels, n, by, rel_neg))
+        return scores.groupBy(*by).agg(F.avg(metric).alias(metric))
     single.__name__ = metric
     single.__doc__ = f"Mean {metric} of the lists cut at n."
     return single

@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from newsloom.operators.joins import lookup_join
 from newsloom.schema import CLICK, KEY
+from newsloom.session import task_count
 
 
 def hash_key(*cols):
@@ -44,6 +45,8 @@ def sample_negatives(clicks, buffer, n=50, seed=42, factor=20, buffer_sample=Non
     session_items = clicks.groupBy(*KEY, "state_step").agg(
         F.collect_set("item_id").alias("_own"),
         F.collect_list("pos").alias("_at"))
+    # Each click hashes a whole pool: cost follows sessions, not bytes.
+    session_items = session_items.repartition(task_count(clicks.sparkSession), *KEY)
     joined = lookup_join(session_items, pools, "state_step", "inner")
     free = joined.withColumn("_pool", F.filter(
         "_pool", lambda c: ~F.array_contains("_own", c["item_id"])))

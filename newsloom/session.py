@@ -39,6 +39,21 @@ def shared_dir(spark):
     return folder
 
 
+def task_count(spark):
+    """Tasks for a step whose cost is per row, not per byte.
+
+    A given count keeps adaptive execution from merging small but expensive
+    partitions into a few tasks.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df):
+    """Shuffle a scan only when it has fewer splits than the cluster has cores."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def fresh_path(spark, name):
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

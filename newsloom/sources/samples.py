@@ -1,10 +1,11 @@
 """Views of the sample tables in the shapes the jobs read."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from newsloom.functions.numeric import hash_digits
 from newsloom.operators.sessions import session_clicks
 from newsloom.schema import MS_HOUR
+from newsloom.session import spread
 
 
 def tune(spark):
@@ -20,6 +21,11 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark, folder):
+    """Article texts, spread over the cores: text jobs cost per row."""
+    return spread(table(spark, folder, "documents"))
+
+
 def clicks(spark, folder):
     """events -> clicks: article_id = props.k + 1, time in whole milliseconds."""
     ts = F.col("ts").cast("timestamp")
@@ -58,7 +64,6 @@ def baskets(spark, folder):
     first = lines.groupBy("l_orderkey", "l_partkey").agg(F.min(F.struct(
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"),
         "l_linenumber", "l_suppkey")).alias("f"))
-    from pyspark.sql import Window
     order = Window.partitionBy("l_orderkey").orderBy("f.ts_ms", "f.l_linenumber", "l_partkey", "f.l_suppkey")
     whole = Window.partitionBy("l_orderkey")
     user = F.col("l_orderkey").cast("string")
