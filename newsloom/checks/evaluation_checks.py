@@ -125,7 +125,7 @@ def k7(spark, d):
 
 @check("k5_sample_negatives", with_sql(EVAL, "SELECT user_id, session_id, pos, item_id, neg_pos FROM neg"))
 def k5(spark, d):
-    return build(spark, d, lambda df, name: df).negatives.select(
+    return build(spark, d).negatives.select(
         *CLICK, "item_id", (F.col("neg_pos") + 1).cast("long").alias("neg_pos"))
 
 

@@ -155,7 +155,7 @@ def j18(spark, d):
     preds, labels = inputs(spark, d)
     cut = S.truncate_sessions(samples.sessions(spark, d))
     return rounded(M.evaluate(preds, labels, samples.embeddings(spark, d), N, clicked=cut, buffer=cut,
-                              catalog=samples.catalog(spark, d)))
+                              catalog=samples.catalog(spark, d), stage=True))
 
 
 @check("a11_metrics_table", """

@@ -11,6 +11,7 @@ from newsloom.functions.numeric import rank_discount
 from newsloom.operators.joins import lookup_join
 from newsloom.operators.recommenders import pair_vectors
 from newsloom.schema import CLICK
+from newsloom.session import materialize
 
 
 def _cut(preds, n):
@@ -230,9 +231,16 @@ def category_eild(preds, labels, catalog, n, by=()):
 ACCURACY = {"hitrate": "hit", "mrr": "rr", "ndcg": "ndcg", "esi_r": "esi_r", "esi_rr": "esi_rr"}
 
 
-def evaluate(preds, labels, emb, n, by=(), clicked=None, buffer=None, catalog=None, rel_neg=0.02):
-    """All metrics per group, long form (by..., metric, value)."""
+def evaluate(preds, labels, emb, n, by=(), clicked=None, buffer=None, catalog=None, rel_neg=0.02,
+             stage=False):
+    """All metrics per group, long form (by..., metric, value).
+
+    Several aggregates read the lists; ``stage`` writes them once to the shared
+    folder instead of computing them for each.
+    """
     by = list(by)
+    if stage:
+        preds, labels = materialize(preds, "preds"), materialize(labels, "labels")
     scores = click_scores(preds, labels, n, by, rel_neg)
     wide = scores.groupBy(*by).agg(
         *[F.avg(c).alias(m) for m, c in ACCURACY.items()],

@@ -120,7 +120,7 @@ def ranked_lists(scored, top_n):
     return out
 
 
-def evaluate_lists(inp, lists, emb, top_n, names, catalog=None, rel_neg=0.02):
+def evaluate_lists(inp, lists, emb, top_n, names, catalog=None, rel_neg=0.02, stage=False):
     """Metrics per (recommender, state_step), long form."""
     preds = with_norm_pop(lists, inp.popularity, inp.norm_clicks)
     every = F.explode(F.array(*[F.lit(n) for n in names]))
@@ -129,7 +129,7 @@ def evaluate_lists(inp, lists, emb, top_n, names, catalog=None, rel_neg=0.02):
     clicked = inp.test.select("state_step", "item_id").distinct().withColumn("recommender", every)
     buffer = inp.buffer.select("state_step", "item_id").distinct().withColumn("recommender", every)
     return M.evaluate(preds, labels, emb, top_n, ["recommender", "state_step"], clicked, buffer,
-                      catalog, rel_neg)
+                      catalog, rel_neg, stage)
 
 
 def run_evaluation(flat, clicks, emb, k=24, top_n=10, n_negatives=50, buffer_hours=1,
@@ -146,8 +146,7 @@ def run_evaluation(flat, clicks, emb, k=24, top_n=10, n_negatives=50, buffer_hou
     scored = recommenders(inp, emb, **settings)
     if only:
         scored = {name: scored[name] for name in only}
-    lists = keep(ranked_lists(scored, top_n), "lists")
-    return evaluate_lists(inp, lists, emb, top_n, list(scored), catalog)
+    return evaluate_lists(inp, ranked_lists(scored, top_n), emb, top_n, list(scored), catalog, stage=stage)
 
 
 def evaluate_fold(inp, scored, top_n=10):
