@@ -3,10 +3,11 @@
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from newsloom.functions import numeric as N
 from newsloom.operators.joins import lookup_join
+from newsloom.operators.ranking import global_rank
 
 
 @dataclass
@@ -118,14 +119,32 @@ def encode_context(df, cardinalities, one_hot_below=10):
 # ---- audits ---------------------------------------------------------------
 
 def describe_col(df, col, probs=(0.1, 0.25, 0.5, 0.75, 0.9), err=None):
-    """Count, mean, deviation, range and quantiles; exact, or approximate with ``err``."""
+    """Count, mean, deviation, range and quantiles; exact, or approximate with ``err``.
+
+    Exact quantiles read the running count of the distinct values (a bucketed
+    order, no single sorted group) and interpolate between the two places around
+    each position.
+    """
     x = F.col(col).cast("double")
-    if err is None:
-        q = [F.expr(f"percentile({col}, {p})").alias(f"q{int(p * 100):02d}") for p in probs]
-    else:
-        q = [F.percentile_approx(x, p, int(1 / err)).alias(f"q{int(p * 100):02d}") for p in probs]
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"),
-                  F.min(x).alias("min"), F.max(x).alias("max"), *q)
+    basic = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"),
+             F.min(x).alias("min"), F.max(x).alias("max")]
+    names = [f"q{int(p * 100):02d}" for p in probs]
+    if err is not None:
+        return df.agg(*basic, *[F.percentile_approx(x, p, int(1 / err)).alias(n) for n, p in zip(names, probs)])
+    freq = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).groupBy("_x").agg(F.count("*").alias("_f"))
+    running = global_rank(freq, [("_x", True)], "_end", weight="_f")
+    spots = running.withColumn("_n", df.agg(F.count(x)).scalar())
+
+    def at(place):
+        return F.max(F.when((place >= F.col("_end") - F.col("_f")) & (place < F.col("_end")), F.col("_x")))
+    quantiles = []
+    for name, p in zip(names, probs):
+        spot = (F.col("_n") - 1) * F.lit(float(p))
+        low, part = F.floor(spot), F.max(spot - F.floor(spot))
+        quantiles.append((at(low) * (1 - part) + at(F.ceil(spot)) * part).alias(name))
+    packed = spots.agg(F.struct(*quantiles)).scalar()
+    out = df.agg(*basic).withColumn("_q", packed)
+    return out.select("*", "_q.*").drop("_q")
 
 
 def audit(df, cols, approx=False):

@@ -4,31 +4,36 @@ from pyspark.sql import Window, functions as F
 
 from newsloom.functions.numeric import log_base
 from newsloom.operators.joins import lookup_join
+from newsloom.operators.ranking import global_rank
 from newsloom.schema import MS_HOUR
 
 
-def recent_clicks(clicks, refs, hours):
+def recent_clicks(clicks, refs, hours, hourly_refs=False):
     """Clicks in the ``hours`` before each reference time (as-of buffer).
 
     Each reference is repeated once per hour bucket it can reach (hours + 1 rows),
-    which turns the range condition into an equi-join on the bucket.
+    which turns the range condition into an equi-join on the bucket.  With
+    ``hourly_refs`` there is at most one reference per hour of the log; that bounds
+    the reference side, and it is broadcast so a hot hour is not shuffled.
     """
     span = hours * MS_HOUR
     reach = refs.withColumn("_bucket", F.explode(F.sequence(
         F.floor((F.col("ref_ts") - span) / MS_HOUR), F.floor(F.col("ref_ts") / MS_HOUR))))
+    if hourly_refs:
+        reach = F.broadcast(reach)
     return (clicks.withColumn("_bucket", F.floor(F.col("ts_ms") / MS_HOUR))
             .join(reach, "_bucket")
             .filter((F.col("ts_ms") >= F.col("ref_ts") - span) & (F.col("ts_ms") < F.col("ref_ts")))
             .drop("_bucket"))
 
 
-def click_buffer(clicks, refs, hours=1, max_size=20_000, ref="state_step"):
+def click_buffer(clicks, refs, hours=1, max_size=20_000, ref="state_step", hourly_refs=False):
     """The newest ``max_size`` clicks of each reference's range, newest first.
 
     ``row_number() <= max_size`` is pushed below the shuffle as a group limit.
     """
     newest = Window.partitionBy(ref).orderBy(F.desc("ts_ms"), F.desc("event_id"))
-    return (recent_clicks(clicks, refs, hours)
+    return (recent_clicks(clicks, refs, hours, hourly_refs)
             .withColumn("buffer_pos", F.row_number().over(newest))
             .filter(F.col("buffer_pos") <= max_size))
 
@@ -72,12 +77,15 @@ def first_click(flat, step="session_hour"):
 def gini(df, value, by):
     """Gini index of the values per group (each value shifted by 1e-7).
 
-    Equal values share one row with their frequency, so a group is as long as its
-    number of distinct values; ranks of equal values are summed in closed form.
+    Equal values share one row with their frequency and ranks of equal values are
+    summed in closed form.  Running counts come from a bucketed order over all
+    groups, shifted by each group's start, so a hot group is spread as well.
     """
+    by = list(by)
     freq = df.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_f"))
-    upto = Window.partitionBy(*by).orderBy("_x")
-    ranked = freq.withColumn("_end", F.sum("_f").over(upto))
+    running = global_rank(freq, [*[(c, True) for c in by], ("_x", True)], "_cum", weight="_f")
+    start = running.groupBy(*by).agg(F.min(F.col("_cum") - F.col("_f")).alias("_start"))
+    ranked = lookup_join(running, start, by, "inner").withColumn("_end", F.col("_cum") - F.col("_start"))
     # sum of 2*i over the ranks end-f+1..end
     twice = F.col("_f") * (2 * F.col("_end") - F.col("_f") + 1)
     x = F.col("_x") + 1e-7

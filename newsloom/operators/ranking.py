@@ -49,9 +49,20 @@ def exclude_items(scored, seen, on=None):
     return scored.join(seen, on or ["item_id"], "left_anti")
 
 
-def global_rank(df, order, out="rn", buckets=128):
+def _places_below(points, key, most):
+    """How many of at most ``most`` sorted points are below the key (halving steps)."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def step(found, width):
+        there = F.get(F.col(points), found + width - 1)
+        return F.when((found + width <= F.size(points)) & (there < key), found + width).otherwise(found)
+    return F.aggregate(halves, F.lit(0), step)
+
+
+def global_rank(df, order, out="rn", buckets=128, weight=None):
     """1-based rank over the whole table without pulling it into one task.
 
+    With ``weight`` the result is the running sum of that column instead.
     ``order`` lists (column, ascending) pairs that order the rows totally.
     Split points come from a hash-ordered sample of at most ``buckets`` rows.  Each
     row finds its bucket from the split points alone, so a lost task recomputes
@@ -65,14 +76,16 @@ def global_rank(df, order, out="rn", buckets=128):
               .agg(F.sort_array(F.collect_list("_k")).alias("s")))
     split_points = sample.scalar()
     bucketed = (tagged.withColumn("_s", split_points)
-                .withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_k"))))
+                .withColumn("_b", _places_below("_s", F.col("_k"), buckets))
                 .drop("_s"))
-    totals = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
+    totals = bucketed.groupBy("_b").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     # At most ``buckets`` rows: one small window group.
     running = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_o"))
     within = Window.partitionBy("_b").orderBy("_k")
-    return (bucketed.withColumn("_r", F.row_number().over(within))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = F.sum(weight).over(upto) if weight else F.row_number().over(within)
+    return (bucketed.withColumn("_r", local)
             .join(F.broadcast(offsets), "_b")
             .withColumn(out, F.col("_r") + F.col("_o"))
             .drop("_b", "_r", "_o", "_k"))

@@ -118,21 +118,27 @@ def candidate_sessions(active, buffered, sample=1000):
     """Buffered sessions that share an item with the click's prefix, newest first.
 
     A session counts once however many items it shares.  At most ``sample`` are
-    kept per click; the limit is part of the method and is applied as a group
-    limit.  Matched positions are collected per (session, neighbour): at most the
-    truncated session length.
+    kept per click; the limit is part of the method.  A kept session is among the
+    newest ``sample`` of every item it shares (all newer ones with that item are
+    candidates too), so each item's list is cut to that first, without loss.  The
+    lists are one row per (step, item) and are looked up with salted keys: a hot
+    article spreads over tasks.  Matched positions are collected per (session,
+    neighbour): at most the truncated session length.
     """
-    shared = (active.select(*KEY, "pos", "item_id", "state_step", "session_size")
-              .join(buffered, ["state_step", "item_id"])
+    newest_first = [F.desc("nbr_session"), F.desc("nbr_user")]
+    postings = (rank_rows(buffered, ["state_step", "item_id"], newest_first)
+                .filter(F.col("rank") <= sample).groupBy("state_step", "item_id")
+                .agg(F.collect_list(F.struct("nbr_user", "nbr_session", "nbr_size")).alias("_l")))
+    prefix = active.select(*KEY, "pos", "item_id", "state_step", "session_size")
+    shared = (lookup_join(prefix, postings, ["state_step", "item_id"], "inner")
+              .select(*KEY, "pos", "state_step", "session_size", F.inline("_l"))
               .groupBy(*KEY, "state_step", "session_size", "nbr_user", "nbr_session", "nbr_size")
               .agg(F.sort_array(F.collect_list("pos")).alias("hits")))
     ends = F.filter(F.sequence(F.lit(1), F.col("session_size").cast("int")),
                     lambda p: p >= F.col("hits")[0])
     per_click = shared.withColumn("pos", F.explode(ends)).withColumn(
         "hits", F.filter("hits", lambda h: h <= F.col("pos")))
-    newest = Window.partitionBy(*CLICK).orderBy(F.desc("nbr_session"), F.desc("nbr_user"))
-    return (per_click.withColumn("_r", F.row_number().over(newest))
-            .filter(F.col("_r") <= sample).drop("_r"))
+    return rank_rows(per_click, CLICK, newest_first).filter(F.col("rank") <= sample).drop("rank")
 
 
 def neighbour_sessions(candidates, sim="cosine", decay="div", k_nn=500):
@@ -166,8 +172,10 @@ def score_session_knn(history, active, probes=None, sim="cosine", decay="div",
     steps = active.select("state_step").distinct()
     buffered = buffer_items(history, session_buffer(history, steps, buffer))
     near = neighbour_sessions(candidate_sessions(active, buffered, sample), sim, decay, k_nn)
-    items = buffered.select("state_step", "nbr_user", "nbr_session", "item_id")
-    votes = near.join(items, ["state_step", "nbr_user", "nbr_session"])
+    keys = ["state_step", "nbr_user", "nbr_session"]
+    items = buffered.groupBy(*keys).agg(F.collect_list("item_id").alias("_items"))
+    votes = lookup_join(near, items, keys, "inner").select(
+        *CLICK, "similarity", F.explode("_items").alias("item_id"))
     if probes is not None:
         votes = votes.join(probes.select(*CLICK, "item_id"), CLICK + ["item_id"], "left_semi")
     scores = votes.groupBy(*CLICK, "item_id").agg(F.sum("similarity").alias("score"))

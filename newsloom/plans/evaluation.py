@@ -10,8 +10,9 @@ from newsloom.operators.joins import lookup_join
 from newsloom.operators.popularity import click_buffer, recent_popularity, with_norm_pop
 from newsloom.operators.ranking import global_rank, rank_candidates, top_n as top_n_rows
 from newsloom.operators.state import versioned_lookup
-from newsloom.operators.sampling import build_candidates, sample_negatives
-from newsloom.operators.sessions import shift_labels, truncate_sessions
+from newsloom.operators.sampling import attach_negatives, build_candidates, sample_negatives
+from newsloom.operators.sessions import (
+    next_item_labels, restrict_to_train_items, shift_labels, truncate_sessions)
 from newsloom.schema import CLICK, KEY
 from newsloom.session import materialize
 
@@ -55,7 +56,8 @@ def tag_steps(flat, k, batch_sessions=None):
     sessions belong to the next training chunk, so nothing is rolled back.
     """
     folds = temporal_folds(flat, k)
-    tagged = lookup_join(flat, folds, "session_hour", "inner")
+    # One row per hour of the log.
+    tagged = flat.join(F.broadcast(folds), "session_hour")
     chunk = F.col("chunk").cast("long")
     if batch_sessions is None:
         return tagged.withColumn("step", chunk).withColumn(
@@ -84,7 +86,8 @@ class EvaluationInput:
         self.labels = shift_labels(self.test)
         refs = reference_times(self.test)
         raw = clicks.select("event_id", "ts_ms", F.col("article_id").alias("item_id"))
-        self.buffer = keep(click_buffer(raw, refs, buffer_hours, buffer_size), "buffer")
+        self.buffer = keep(click_buffer(raw, refs, buffer_hours, buffer_size,
+                                        hourly_refs=batch_sessions is None), "buffer")
         self.norm_clicks = norm_clicks
         self.popularity = recent_popularity(self.buffer, norm_clicks)
         test_clicks = self.test.select(*CLICK, "item_id", "state_step", "event_id")
@@ -215,13 +218,8 @@ def evaluate_external(preds, test, train, negatives, top_n, by=()):
     Only test items seen in training count, and only sessions with logged
     negatives; a list is cut to the click's candidates before it is ranked.
     """
-    from newsloom.operators.sampling import attach_negatives
-    from newsloom.operators.sessions import next_item_labels, restrict_to_train_items
-
     kept = restrict_to_train_items(test, train)
-    order = Window.partitionBy(*KEY).orderBy("pos")
-    labelled = next_item_labels(kept).filter(F.col("label_next_item").isNotNull()).withColumn(
-        "_place", F.row_number().over(order))
+    labelled = next_item_labels(kept).filter(F.col("label_next_item").isNotNull())
     logged = attach_negatives(labelled, negatives)
     allowed = logged.select(*CLICK, F.explode(F.concat(
         "negative_items", F.array("label_next_item"))).alias("item_id")).distinct()
