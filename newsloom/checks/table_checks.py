@@ -509,9 +509,9 @@ def m5(spark, d):
     raw = pages.select(
         F.col("page_id").alias("newsId"), F.col("html").alias("content"),
         F.timestamp_seconds(F.lit(1546300800) + F.col("page_id")).alias("publishDate"), F.lit("teaser").alias("sapo"),
-        F.lit("CafeBiz").alias("sourceNews"), F.lit("a;b").alias("tags"),
+        F.lit("portal").alias("sourceNews"), F.lit("a;b").alias("tags"),
         F.concat(F.lit("T"), F.col("page_id")).alias("title"), "url", (F.col("page_id") % 7).alias("catId"),
         F.when(F.col("page_id") % 11 == 0, 1).otherwise(0).alias("is_deleted"))
     known = pages.filter("page_id < 20").select(F.col("page_id").alias("id"))
-    return C.prepare_articles(raw, known, "CafeBiz").select(
+    return C.prepare_articles(raw, known, "portal").select(
         "id", F.md5(F.col("text_highlights").cast("binary")).alias("text_hash"), "keywords", "created_at_ts", "category0")

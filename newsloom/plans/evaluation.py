@@ -81,7 +81,7 @@ class EvaluationInput:
 
     def __init__(self, flat, clicks, k, n_negatives=50, buffer_hours=1, buffer_size=20_000,
                  batch_sessions=None, seed=42, norm_clicks=1000, keep=lambda df, name: df):
-        self.tagged = keep(tag_steps(flat, k, batch_sessions), "tagged")
+        self.tagged = keep(tag_steps(keep(flat, "sessions"), k, batch_sessions), "tagged")
         self.test = truncate_sessions(self.tagged.filter(F.col("state_step").isNotNull()))
         self.labels = shift_labels(self.test)
         refs = reference_times(self.test)
@@ -162,7 +162,7 @@ def evaluate_fold(inp, scored, top_n=10):
             .agg(F.count("*").alias("clicks"), F.avg("hit").alias("hitrate"), F.avg("rr").alias("mrr")))
 
 
-def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div", batch_sessions=None):
+def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div", batch_sessions=None, stage=True):
     """Flagship: rules learned before each test hour, top-n next items, hit rate and MRR.
 
     The current items of a step are looked up once each; their n best rules are
