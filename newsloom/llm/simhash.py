@@ -88,7 +88,8 @@ def _signed(x):
 
 
 def _distance(one, many):
-    return np.bitwise_count(one ^ many).sum(axis=1)
+    # the count of a signed number is that of its absolute value
+    return np.bitwise_count((one ^ many).view(np.uint64)).sum(axis=1)
 
 
 def forest(ids, prints, most, start=None):
@@ -155,7 +156,7 @@ def link_batches(pieces, most, chunk):
             begins, ends = _runs(rows[:, 0])
             sizes = ends - begins
             two = begins[sizes == 2]  # most shared buckets hold two nodes
-            near = np.bitwise_count(rows[two, 2:] ^ rows[two + 1, 2:]).sum(axis=1) <= most
+            near = _distance(rows[two, 2:], rows[two + 1, 2:]) <= most
             links += list(zip(rows[two[near], 1].tolist(), rows[two[near] + 1, 1].tolist()))
             for a, b in zip(begins[sizes > 2].tolist(), ends[sizes > 2].tolist()):
                 if b - a <= chunk:
