@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from newsloom.llm.common import table
+from newsloom.llm.common import ship, table
 
 #: Words and pieces whose ids a worker remembers, in two generations of this size.
 CACHE_WORDS = 250_000
@@ -233,6 +233,7 @@ def vocabulary():
 
 
 def op3_bpe(spark, folder):
+    ship(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.mapInArrow(digest_batches(vocabulary()),
                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,5 +1,9 @@
 """Word expressions, running totals and staging shared by the operators of this folder."""
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+_shipped = set()
+
+
+def ship(spark):
+    """Send this package to the Python workers, once per application: they need not share the driver's folders."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        base = os.path.join(tempfile.mkdtemp(prefix="ship-"), "newsloom")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "newsloom"))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

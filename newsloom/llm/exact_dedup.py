@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import staged, table, text_of
+from newsloom.llm.common import ship, staged, table, text_of
 
 #: Digests of one filter shard, about.
 SHARD_KEYS = 50_000
@@ -166,6 +166,7 @@ def _classes(groups, same):
 
 def op8_exact_dedup(spark, folder):
     """All documents: half of the ids, by checksum, are the snapshot, the others the incoming batch."""
+    ship(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(True))
     return dedup(docs.filter(held), docs.filter(~held))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import staged, table
+from newsloom.llm.common import ship, staged, table
 
 SEED = 42
 CHUNK = 4096
@@ -237,5 +237,6 @@ def near_groups(docs, size=4, bits=64, pieces=1, radius=4, most=4, chunk=CHUNK):
 
 
 def op10_simhash(spark, folder):
+    ship(spark)
     groups = near_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
