@@ -62,7 +62,7 @@ def running(df, key, order, value, buckets, name):
     itself, and the sums of earlier buckets are added. No task holds more than a bucket.
     """
     width = 2 ** 64 // buckets + 1
-    bucket = F.floor((F.col(order[0]).cast("decimal(20,0)") + F.lit(2 ** 63)) / F.lit(width)).cast("long")
+    bucket = F.floor(F.col(order[0]) / F.lit(float(width))).cast("long")  # grows with the hash
     rows = df.withColumn("_bucket", bucket)
     keys = [F.col(k) for k in key]
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))

@@ -151,8 +151,9 @@ def _same_bytes(pairs, snapshot, batch):
         found = docs.select(F.col("doc_id").alias("_id"), text_of(docs).alias(name))
         found = found.withColumn("_sha", F.sha2(name, 256))
         on = found["_id"].eqNullSafe(wanted["_top"]) & (found["_sha"] == wanted["sha"])
-        return found.join(wanted, on).groupBy("sha").agg(F.first(name).alias(name))
-    met = texts(snapshot, "old_top", "old_text").join(texts(batch, "new_top", "new_text"), "sha")
+        # merge: the texts are shuffled by digest at every size, not only where the keys are too many to broadcast
+        return found.join(wanted.hint("merge"), on).groupBy("sha").agg(F.first(name).alias(name))
+    met = texts(snapshot, "old_top", "old_text").join(texts(batch, "new_top", "new_text").hint("merge"), "sha")
     return pairs.join(met.filter("old_text = new_text").select("sha"), "sha")
 
 

@@ -3,8 +3,9 @@
 from newsloom.llm.bpe import op3_bpe
 from newsloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from newsloom.llm.lattice_lm import op9_lattice_lm
+from newsloom.llm.mixing import op1_mix_sources
 from newsloom.llm.simhash import op10_simhash
 from newsloom.llm.substring_dedup import op4_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_substring_dedup, op8_exact_dedup, op9_lattice_lm, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_bpe, op4_substring_dedup, op8_exact_dedup, op9_lattice_lm, op10_simhash)}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
