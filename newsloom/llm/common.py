@@ -49,6 +49,11 @@ def staged(df, name):
     return materialize(df, name)
 
 
+def bounded(df, rows=500_000):
+    """A written table, marked for broadcast if it has at most ``rows`` rows; the join shuffles both sides otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bucket_count(rows, size=50_000, least=32):
     """How many buckets hold ``rows`` rows at about ``size`` each."""
     return max(least, -(-rows // size))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, staged, table, text_of
+from newsloom.llm.common import bounded, ship, staged, table, text_of
 
 #: Digests of one filter shard, about.
 SHARD_KEYS = 50_000
@@ -146,14 +146,14 @@ def dedup(snapshot, batch):
 
 def _same_bytes(pairs, snapshot, batch):
     """The positives whose text equals the text of their bucket."""
+    wanted = bounded(pairs)
+
     def texts(docs, top, name):
-        wanted = pairs.select("sha", F.col(top).alias("_top"))
         found = docs.select(F.col("doc_id").alias("_id"), text_of(docs).alias(name))
         found = found.withColumn("_sha", F.sha2(name, 256))
-        on = found["_id"].eqNullSafe(wanted["_top"]) & (found["_sha"] == wanted["sha"])
-        # merge: the texts are shuffled by digest at every size, not only where the keys are too many to broadcast
-        return found.join(wanted.hint("merge"), on).groupBy("sha").agg(F.first(name).alias(name))
-    met = texts(snapshot, "old_top", "old_text").join(texts(batch, "new_top", "new_text").hint("merge"), "sha")
+        on = found["_id"].eqNullSafe(wanted[top]) & (found["_sha"] == wanted["sha"])
+        return found.join(wanted, on).groupBy("sha").agg(F.first(name).alias(name))
+    met = texts(snapshot, "old_top", "old_text").join(texts(batch, "new_top", "new_text"), "sha")
     return pairs.join(met.filter("old_text = new_text").select("sha"), "sha")
 
 
