@@ -210,6 +210,25 @@ def encode_table(docs, path):
     return docs.select("doc_id", "text").mapInArrow(encode_batches(path), "doc_id long, ids array<int>")
 
 
+def coded_batches(path):
+    """mapInArrow function: (doc_id, text) -> doc_id, n_tokens, ids and the digest of their decoding."""
+    def run(batches):
+        bpe = coder(path)
+        for batch in encode_batches(path)(batches):
+            ids = batch.column("ids")
+            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+            seen = [hashlib.sha256(bpe.decode(flat[a:b].tolist()).encode()).hexdigest() for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(seen)],
+                                  names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+    return run
+
+
+def coded_table(docs, path):
+    """doc_id, n_tokens, ids and decoded_sha256 of every text, repeated rows kept."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(
+        coded_batches(path), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digest_batches(path):
     """mapInArrow function: the digests of ids and of their decoding."""
     def run(batches):

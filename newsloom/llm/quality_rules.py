@@ -162,18 +162,38 @@ def verdict(rules):
     return out
 
 
-def judge(stats, labels, sample=SAMPLE):
-    """Add base_failed, rule and kept to a written table of statistics, learning from labels (doc_id, quality)."""
+def learned_rules(stats, labels, sample=SAMPLE):
+    """The decision list for a written table of statistics and labels (doc_id, quality)."""
     labels = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("bad"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = stats.filter(~base_failed()).join(labels, "doc_id")
     rows = rows.select("bad", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0).alias("prune"),
                        *[F.expr(e).alias(n) for n, e in FEATURES.items()])
-    rules = learn(staged(rows, "rules-labelled"))
+    return learn(staged(rows, "rules-labelled"))
+
+
+def judge(stats, labels, sample=SAMPLE):
+    """Add base_failed, rule and kept to a written table of statistics, learning from labels (doc_id, quality)."""
+    rules = learned_rules(stats, labels, sample)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
+def keep_good(docs, labels, sample=SAMPLE):
+    """The documents that neither the base rules nor the learned list reject, with all their columns.
+
+    The list is learned from the labelled documents and then applied where each document is read: no text is shuffled.
+    """
+    known = labels.filter("quality IS NOT NULL").select(F.col("doc_id").alias("_known")).distinct()
+    known = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_known"), "left_semi")
+    rules = learned_rules(staged(statistics(known, extra=True), "rules-known"), labels, sample)
+    # the whole row goes along in place of its id
+    rows = statistics(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), extra=True)
+    # behind a generator the filter is not pushed into the statistics, which would compute them once per mention
+    rows = rows.select("doc_id", F.inline(F.array(F.struct(*rows.columns[1:]))))
+    return rows.filter(~base_failed() & verdict(rules).isNull()).select("doc_id.*")
+
+
 def op6_quality_rules(spark, folder):
     stats = staged(statistics(table(spark, folder, "documents"), extra=True), "rules-stats")
     judged, _ = judge(stats, table(spark, folder, "labels"))
