@@ -69,7 +69,8 @@ def feed_sessions(spark, d, job):
                                      c["article_id"].alias("article_id"))).alias("clicks"))
     source, out, state = (fresh_path(spark, n) for n in ("feed", "tables", "feed-state"))
     for part in range(PARTS):
-        nested.filter(F.floor(F.col("session_hour") / 240) == part).drop("session_hour").write.mode("append").parquet(source)
+        # the last part takes every later hour
+        nested.filter(F.least(F.floor(F.col("session_hour") / 240), F.lit(PARTS - 1)) == part).drop("session_hour").write.mode("append").parquet(source)
         stream = spark.readStream.schema(nested.drop("session_hour").schema).parquet(source)
         job(stream, out, state)
     return out
