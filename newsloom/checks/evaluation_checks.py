@@ -254,10 +254,13 @@ NORM = """((z - zlo + 1e-24) / greatest(zhi - zlo, 2e-24)) * 2 - 1"""
 
 
 @check("k2_recency", with_sql(EVAL + [CATALOG, """
-st AS (SELECT state_step, avg(x) AS m, sqrt(var_pop(x) + 1e-24) AS s, min(x) AS lo, max(x) AS hi FROM (
-  SELECT b.state_step, ln(1 + greatest((mx - created_at_ts) / 86400000.0, 0)) / ln(1.3) AS x
+vals AS (SELECT b.state_step, ln(1 + greatest((mx - created_at_ts) / 86400000.0, 0)) / ln(1.3) AS x
   FROM buffer b JOIN catalog ON article_id = item_id JOIN (SELECT state_step, max(ts_ms) AS mx FROM lab GROUP BY 1) USING (state_step)
-  WHERE buffer_pos <= 200) GROUP BY 1)"""], f"""
+  WHERE buffer_pos <= 200),
+st AS (SELECT state_step, avg(x) AS m, sqrt(var_pop(x) + 1e-24) AS s, min(x) AS lo, max(x) AS hi FROM (
+  SELECT * FROM vals UNION ALL
+  SELECT l.state_step, ln(1 + greatest((ts_ms - created_at_ts) / 86400000.0, 0)) / ln(1.3) FROM lab l JOIN catalog ON article_id = item_id
+  WHERE l.state_step NOT IN (SELECT state_step FROM vals)) GROUP BY 1)"""], f"""
 SELECT user_id, session_id, pos, item_id, round({NORM}, 6) AS recency FROM (
   SELECT l.user_id, l.session_id, l.pos, l.item_id, (ln(1 + greatest((ts_ms - created_at_ts) / 86400000.0, 0)) / ln(1.3) - m) / s AS z,
          (lo - m) / s AS zlo, (hi - m) / s AS zhi FROM lab l JOIN catalog ON article_id = item_id JOIN st USING (state_step))"""))
@@ -269,8 +272,11 @@ def k2(spark, d):
 
 
 @check("k3_novelty", with_sql(EVAL + ["""
+vals AS (SELECT b.state_step, -log2(norm_pop) AS x FROM buffer b JOIN pop USING (state_step, item_id) WHERE buffer_pos <= 200),
 st AS (SELECT state_step, avg(x) AS m, sqrt(var_pop(x) + 1e-24) AS s, min(x) AS lo, max(x) AS hi FROM (
-  SELECT b.state_step, -log2(norm_pop) AS x FROM buffer b JOIN pop USING (state_step, item_id) WHERE buffer_pos <= 200) GROUP BY 1)"""], f"""
+  SELECT * FROM vals UNION ALL
+  SELECT l.state_step, -log2(coalesce(norm_pop, 0.001)) FROM lab l LEFT JOIN pop USING (state_step, item_id)
+  WHERE l.state_step NOT IN (SELECT state_step FROM vals)) GROUP BY 1)"""], f"""
 SELECT user_id, session_id, pos, item_id, round({NORM}, 6) AS novelty FROM (
   SELECT l.user_id, l.session_id, l.pos, l.item_id, (-log2(coalesce(norm_pop, 0.001)) - m) / s AS z, (lo - m) / s AS zlo, (hi - m) / s AS zhi
   FROM lab l JOIN st USING (state_step) LEFT JOIN pop USING (state_step, item_id))"""))

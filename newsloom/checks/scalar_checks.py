@@ -82,10 +82,13 @@ def b3(spark, d):
 
 
 @check("b4_url_encode_decode", """
-SELECT page_id, url_encode(url) AS encoded, url AS decoded FROM pages""")
+SELECT page_id, replace(url_encode(u), '%2F', '/') AS encoded, u AS decoded, u AS plain
+FROM (SELECT page_id, url || ' a+b~c*d/100%' AS u FROM pages)""")
 def b4(spark, d):
-    coded = samples.table(spark, d, "pages").select("page_id", F.url_encode("url").alias("encoded"))
-    return coded.withColumn("decoded", F.url_decode("encoded"))
+    urls = samples.table(spark, d, "pages").select("page_id", F.concat("url", F.lit(" a+b~c*d/100%")).alias("u"))
+    coded = urls.withColumn("encoded", X.url_encode("u"))
+    return coded.select("page_id", "encoded", X.url_decode("encoded").alias("decoded"), X.url_decode(
+        F.regexp_replace("u", "%(?=[0-9A-Fa-f]{2})", "%25")).alias("plain"))
 
 
 FAMILY = """CASE CAST(c_custkey % 7 AS INTEGER) WHEN 0 THEN 'Symbian^3' WHEN 1 THEN 'BlackBerry Tablet'
@@ -205,12 +208,19 @@ def b15(spark, d):
     return docs.select("doc_id", F.md5(text.cast("binary")).alias("h"))
 
 
+# References that the tables hold, and some they do not.
+NAMED = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("middot", "·"), ("copy", "©"), ("reg", "®"),
+         ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"),
+         ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("eacute", "é"), ("oslash", "ø"), ("times", "×")]
+
+
 def html_sql(expr, drop):
     e = rx(expr, r"(?s)<!--.*?-->", "")
     e = rx(e, r"(?is)<script\b.*?</script>", "")
     e = rx(e, r"(?is)<style\b.*?</style>", "")
-    e = rx(e, r"(?s)<[^>]*>", "")
-    for name, char in X.ENTITIES.items():
+    e = rx(e, r"""(?s)<(/?[A-Za-z]([^>"']|"[^"]*"|'[^']*')*|[!?][^>]*)>""", "")
+    e = rx(e, r"(?s)</?[A-Za-z][^>]*>", "")
+    for name, char in NAMED:
         e = f"replace({e}, '&{name};', {q(char)})"
     e = f"replace({e}, '&amp;', '&')"
     return f"translate({e}, {q(X.BAD_CHARACTERS)}, '')" if drop else e

@@ -4,8 +4,10 @@ Character classes are spelled out (``\\p{L}`` ...) so that word, digit and space
 mean the same for every language, not only ASCII.
 """
 
+import json
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -35,6 +37,20 @@ def url_host(url, full=False):
     return F.when(found != "", found)
 
 
+def url_encode(url):
+    """Percent encoding: letters, digits, '_.-~' and '/' stay, a blank is %20."""
+    coded = F.replace(F.url_encode(_col(url)), F.lit("+"), F.lit("%20"))
+    for done, wanted in [("*", "%2A"), ("%7E", "~"), ("%2F", "/")]:
+        coded = F.replace(coded, F.lit(done), F.lit(wanted))
+    return coded
+
+
+def url_decode(url):
+    """Undo percent encoding; '+' and a '%' without two digits stay as they are."""
+    whole = F.regexp_replace(F.replace(_col(url), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(whole)
+
+
 # Fixed list: operating-system families that are kept.
 OS_FAMILIES = [
     "iOS", "Android", "Windows Phone", "Windows Mobile", "Windows", "Mac OS X", "Mac OS",
@@ -93,29 +109,31 @@ def assemble_text(cols, sep=" | "):
     return F.translate(joined, "­\"", "")
 
 
-# Named character references found in article bodies.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "middot": "·",
-    "copy": "©", "reg": "®", "laquo": "«", "raquo": "»", "euro": "€",
-    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘",
-    "rsquo": "’", "ldquo": "“", "rdquo": "”",
-}
+@lru_cache(maxsize=1)
+def _named_references():
+    """Named character references of HTML as JSON, from the standard library."""
+    return json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
+
+
 # Fixed list: characters the portal's text filter names.
 BAD_CHARACTERS = "\";:!*(){}/|-_=+&^%$#@<>~"
 
 
-def _numeric_entities(c):
-    """Decode &#123; and &#x7b; by splitting on '&#' and rebuilding each piece."""
+def _references(c):
+    """Decode &name;, &#123; and &#x7b; by splitting on '&' and rebuilding each piece."""
+    names = F.from_json(F.lit(_named_references()), "map<string,string>")
+
     def piece(p):
-        dec = F.regexp_extract(p, r"^([0-9]{1,5});", 1)
-        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,4});", 1)
-        code = F.when(dec != "", F.lpad(F.hex(dec.cast("long")), 4, "0")).when(
-            hexa != "", F.lpad(F.upper(hexa), 4, "0"))
-        char = F.decode(F.unhex(F.substring(code, -4, 4)), "UTF-16BE")
-        rest = F.regexp_replace(p, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(code.isNotNull(), F.concat(char, rest)).otherwise(
-            F.concat(F.lit("&#"), p))
-    pieces = F.split(c, "&#")
+        head = F.substring_index(p, ";", 1)
+        dec = F.regexp_extract(head, r"^#0*([0-9]{1,8})$", 1)
+        hexa = F.regexp_extract(head, r"^#[xX]0*([0-9a-fA-F]{1,7})$", 1)
+        code = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        point = F.when(valid, code).otherwise(0xFFFD)
+        char = F.when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(names[head])
+        closed = F.contains(p, F.lit(";")) & char.isNotNull()
+        return F.when(closed, F.concat(char, F.substr(p, F.length(head) + 2))).otherwise(F.concat(F.lit("&"), p))
+    pieces = F.split(c, "&")
     tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
     return F.concat(pieces[0], F.array_join(tail, ""))
 
@@ -129,11 +147,10 @@ def html_to_text(c, remove_bad_chars=False):
     """
     text = F.regexp_replace(_col(c), r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)>", "")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.when(text.contains("&#"), _numeric_entities(text)).otherwise(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    # a tag starts with a letter, '/', '!' or '?' and may hold a quoted '>'
+    text = F.regexp_replace(text, r"""(?s)<(?:/?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+|[!?][^>]*)>""", "")
+    text = F.regexp_replace(text, r"(?s)</?[A-Za-z][^>]*>", "")
+    text = F.when(text.contains("&"), _references(text)).otherwise(text)
     if remove_bad_chars:
         text = F.translate(text, BAD_CHARACTERS, "")
     return text

@@ -55,10 +55,17 @@ def min_max(c, low, high, lo=-1.0, hi=1.0, eps=1e-24):
 
 
 def _normalise(items, buffer_values, value, by, out):
-    """Z-normalise with the buffer's mean and deviation, then min-max to [-1, 1]."""
-    stats = buffer_values.groupBy(*by).agg(
-        F.avg("x").alias("_m"), F.sqrt(F.var_pop("x") + 1e-24).alias("_s"),
-        F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    """Z-normalise with the buffer's mean and deviation, then min-max to [-1, 1].
+
+    A step without buffer values is normalised with the values of its own items.
+    """
+    def spread(values):
+        return values.groupBy(*by).agg(
+            F.avg("x").alias("_m"), F.sqrt(F.var_pop("x") + 1e-24).alias("_s"),
+            F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    buffered = spread(buffer_values)
+    own = spread(items.select(*by, value.alias("x")))
+    stats = buffered.unionByName(own.join(buffered.select(*by), by, "left_anti"))
     joined = lookup_join(items, stats, by, "inner")
 
     def z(c):

@@ -118,7 +118,7 @@ def candidate_sessions(active, buffered, sample=1000):
     """Buffered sessions that share an item with the click's prefix, newest first.
 
     A session counts once however many items it shares.  At most ``sample`` are
-    kept per click; the limit is part of the method.  A kept session is among the
+    kept per click (0 or None: all); the limit is part of the method.  A kept session is among the
     newest ``sample`` of every item it shares (all newer ones with that item are
     candidates too), so each item's list is cut to that first, without loss.  The
     lists are one row per (step, item) and are looked up with salted keys: a hot
@@ -126,8 +126,10 @@ def candidate_sessions(active, buffered, sample=1000):
     neighbour): at most the truncated session length.
     """
     newest_first = [F.desc("nbr_session"), F.desc("nbr_user")]
-    postings = (rank_rows(buffered, ["state_step", "item_id"], newest_first)
-                .filter(F.col("rank") <= sample).groupBy("state_step", "item_id")
+    listed = buffered
+    if sample:
+        listed = rank_rows(buffered, ["state_step", "item_id"], newest_first).filter(F.col("rank") <= sample)
+    postings = (listed.groupBy("state_step", "item_id")
                 .agg(F.collect_list(F.struct("nbr_user", "nbr_session", "nbr_size")).alias("_l")))
     prefix = active.select(*KEY, "pos", "item_id", "state_step", "session_size")
     shared = (lookup_join(prefix, postings, ["state_step", "item_id"], "inner")
@@ -138,6 +140,8 @@ def candidate_sessions(active, buffered, sample=1000):
                     lambda p: p >= F.col("hits")[0])
     per_click = shared.withColumn("pos", F.explode(ends)).withColumn(
         "hits", F.filter("hits", lambda h: h <= F.col("pos")))
+    if not sample:
+        return per_click
     return rank_rows(per_click, CLICK, newest_first).filter(F.col("rank") <= sample).drop("rank")
 
 

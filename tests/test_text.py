@@ -16,11 +16,18 @@ def test_urls(spark):
     assert one(spark, "a.vn/te-2019.chn", X.article_id_from_url("v")) == 2019
     assert one(spark, "a.vn/te.htm", X.article_id_from_url("v")) is None
     assert one(spark, "https://www.a.vn:80/x", X.url_host("v")) == "a.vn"
+    assert one(spark, "http://a/b c+d~e*é%", X.url_encode("v")) == "http%3A//a/b%20c%2Bd~e%2A%C3%A9%25"
+    assert one(spark, "a%20b+c%2Fd%zz%", X.url_decode("v")) == "a b+c/d%zz%"
 
 
 def test_html(spark):
     html = '<p>A&amp;lt; &#233;&#x41;<!-- no --><script>var t="</p>";</script> "b"&nbsp;c; &#999999; &# x</p>'
-    assert one(spark, html, X.html_to_text("v")) == 'A&lt; éA "b" c; &#999999; &# x'
+    assert one(spark, html, X.html_to_text("v")) == 'A&lt; éA "b" c; ' + chr(999999) + ' &# x'
+    for html, text in [
+            ("<p>5 < 6 and 7 > 3</p>", "5 < 6 and 7 > 3"), ("<a title='x>y'>t</a>", "t"), ("a<br/>b<!DOCTYPE x>c", "abc"),
+            ("&oslash;&eacute;&times;&apos;&rarr;&unknown; & b", "\u00f8\u00e9\u00d7'\u2192&unknown; & b"),
+            ("&#128512;&#x1F600;&#0;&#xD800;", "\U0001F600\U0001F600\ufffd\ufffd"), ("<a title='x>t</a>", "t"), ("", ""), (None, None)]:
+        assert one(spark, html, X.html_to_text("v")) == text
     assert one(spark, "<b>a-b; c</b>", X.html_to_text("v", remove_bad_chars=True)) == "ab c"
 
 
