@@ -60,9 +60,10 @@ def recurring(docs, min_docs=MIN_DOCS, least=LEAST, lead=LEAD, constant=CONSTANT
     hot = staged(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= min_docs).select("leaf"), "lines-leaves")
     lines = staged(lines.join(bounded(hot, LEAVES), "leaf"), "lines-met")
     fixed = staged(common_templates(lines, constant), "lines-fixed")
-    words = F.split("flat", " ")
-    agrees = (F.size("fixed") >= similar * F.col("n")) & F.forall("fixed", lambda f: F.col("words")[f["place"]] == f["word"])
-    lines = lines.join(fixed, "leaf", "left").withColumn("words", words)
+    # the words are bound once: a column read inside the inner function would be split again for each place
+    agrees = (F.size("fixed") >= similar * F.col("n")) & F.exists(
+        F.array(F.split("flat", " ")), lambda words: F.forall("fixed", lambda f: words[f["place"]] == f["word"]))
+    lines = lines.join(fixed, "leaf", "left")
     lines = lines.withColumn("template", F.when(F.coalesce(agrees, F.lit(False)), F.col("leaf")).otherwise(F.col("own")))
     lines = staged(lines.select("template", "doc", "key", "nth"), "lines-templates")
     met = lines.groupBy("template").agg(F.count_distinct(F.coalesce("doc", F.lit(-1))).alias("docs"),
