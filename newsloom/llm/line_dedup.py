@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import BLANK, bounded, staged, table
 
 WILD = "<*>"
-VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
+#: Tried at the start of a word only: without the look-behind a word of n letters costs n tries of up to n letters.
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 MIN_DOCS = 6
 LEAST = 4
 LEAD = 3
