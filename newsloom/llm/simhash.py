@@ -259,13 +259,16 @@ def near_groups(docs, size=4, bits=64, pieces=1, radius=4, most=4, chunk=CHUNK):
     return prints.join(nodes, on).select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs, size=5, bits=64, pieces=4, radius=4, most=40, chunk=CHUNK):
+def one_of_each(docs, size=5):
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Five-word shingles at a similarity of 0.8 differ in about 15 % of the bits, 39 of 256. Null ids stay; of
-    rows that repeat the id that stays, one is kept.
+    Documents are linked at a Jaccard similarity of their five-word shingles of 0.8 or more, exactly (``near_sets``): masks that
+    cover the bits such pairs differ in would be too many or too narrow to part documents. Null ids stay; of rows that repeat
+    the id that stays, one is kept.
     """
-    groups = near_groups(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), size, bits, pieces, radius, most, chunk)
+    from newsloom.llm.near_sets import set_groups  # it builds on this module
+
+    groups = set_groups(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), size)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     alone = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

@@ -95,3 +95,40 @@ def test_mix_and_codes(tables):
     assert 0 <= whole - sum(taken.values()) < len({source[d] for d in words if words[d]})
     want = Counter((r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in tables["mix_sources"])
     assert want == Counter((r["doc_id"], tuple(r["ids"])) for r in tables["bpe"])
+
+
+def test_one_of_each_brute_force(spark):
+    """Groups are those of exact five-word Jaccard >= 0.8, near and far from it, with short texts, chains and blank texts."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.choice([4, 12, 60, 300, 300, 600]))]
+        texts.append(" ".join(words))
+        for changes in rng.integers(1, 20, 4):
+            other = list(words)
+            for k in rng.integers(0, len(words), min(changes, 1 + len(words) // 36)):
+                other[k] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(other))
+            if changes % 3 == 0:
+                words = other
+    texts += ["", " \n", None, texts[0], texts[7].upper()]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no id")], "doc_id long, text string")
+    got = Counter(r.doc_id for r in simhash.one_of_each(docs).collect())
+    want = Counter({find(k) for k in range(len(texts))})
+    assert got == want + Counter([None])
+    assert 40 < len(want) < len(texts) - 20
