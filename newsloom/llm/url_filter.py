@@ -4,9 +4,11 @@ Pages that a rule fits are the labelled ones. Segments that vary by nature (numb
 few different paths; only these, with their counts of pages, of labelled and of blocked pages, go on. The tree grows level
 by level below each host. Branches of fewer than ``least`` pages share one wildcard. A larger branch has a label class
 (blocked, allowed, mixed, none) and a distribution of shapes below it; it merges with its siblings of that class if a
-chi-squared test against the distribution of them all together finds no difference. So no branches are compared in pairs,
-and a branch without labels never takes over the labels of its neighbours. A template's purity is its share of blocked
-pages among labelled ones, smoothed by ``weight`` pages at the overall share (a half at most). Templates with labels and a
+chi-squared test against the distribution of them all together finds no difference. So no branches are compared in pairs.
+A branch without labels is also held against the labelled classes beside it and joins the one whose shapes it shares; if it fits
+several or none of them it stays by itself. A template's purity is its share of blocked pages among labelled ones, smoothed by
+``weight`` pages at its parent template's purity, and so on up to the host, which is smoothed by the overall share (a half at
+most). So a template without labels has its parent's purity, a host without any the overall share. Templates with a
 purity of ``reject`` or more are blocked, all others allowed. Levels below ``depth`` count as one.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Repeated rows get equal results. An
@@ -57,9 +59,29 @@ def _share(blocked, labelled):
     return (blocked + 1) / (labelled + 2)
 
 
+def _bound(shapes):
+    """Three standard deviations above the mean of chi-squared over so many shapes."""
+    return shapes - 1 + 3 * F.sqrt(2.0 * (shapes - 1)) + 1e-6
+
+
+def _labelled_like(cells, pool, sums):
+    """host, template, segment of the branches without labels, and the one labelled class that each is like."""
+    branch = ["host", "template", "segment"]
+    bare = cells.filter("kind = 'none'").select(*CELL, "pages", "all")
+    classes = sums.filter("kind IN ('block', 'allow', 'mixed')").withColumnRenamed("kind", "like")
+    met = bare.join(classes, ["host", "template"]).join(pool.withColumnRenamed("kind", "like"), ["host", "template", "like", "shape"], "left")
+    own = F.col("pages").cast("double")
+    expected = F.col("all") * (own + F.coalesce("pool", F.lit(0))) / (F.col("total") + F.col("all"))
+    chi = met.groupBy(*branch, "like").agg(
+        (F.sum(own * own / expected) - F.max("all")).alias("chi"),
+        (F.max("shapes") + F.count_if(F.col("pool").isNull())).alias("shapes"))
+    fits = chi.filter(F.col("chi") <= _bound(F.col("shapes")))
+    return fits.groupBy(*branch).agg(F.count(F.lit(1)).alias("n"), F.min("like").alias("like")).filter("n = 1").drop("n")
+
+
 def templates(paths, depth=DEPTH, least=LEAST):
     """Add the template of every path. ``paths``: host, flat, pages, labelled, blocked, one row per host and flat path."""
-    rows = paths.withColumn("template", F.lit("")).withColumn("segments", F.split("flat", "/"))
+    rows = paths.withColumn("template", F.lit("")).withColumn("segments", F.split("flat", "/")).withColumn("trail", F.array(F.lit("")))
     for level in range(1, depth + 1):
         # the path starts with a slash: segment 0 is empty
         here = F.col("segments")[level] if level < depth else F.array_join(F.slice("segments", level + 1, 1 << 30), "/")
@@ -81,12 +103,19 @@ def templates(paths, depth=DEPTH, least=LEAST):
         chi = met.groupBy("host", "template", "segment", "kind").agg(
             (F.sum(F.col("pages") * F.col("pages") / expected) - F.max("all")).alias("chi"),
             F.max("shapes").alias("shapes"), F.max("total").alias("total"), F.max("all").alias("all"))
-        bound = F.col("shapes") - 1 + 3 * F.sqrt(2.0 * (F.col("shapes") - 1)) + 1e-6
-        joins = (F.col("kind") == "rare") | ((F.col("all") < F.col("total")) & (F.col("chi") <= bound))
-        named = chi.select("host", "template", "segment", F.when(joins, F.concat(F.lit("<*"), "kind", F.lit(">"))).otherwise(
-            F.col("segment")).alias("name"))
+        joins = (F.col("kind") == "rare") | ((F.col("all") < F.col("total")) & (F.col("chi") <= _bound(F.col("shapes"))))
+        wild = lambda kind: F.concat(F.lit("<*"), kind, F.lit(">"))
+        chi = chi.join(_labelled_like(cells, pool, sums), ["host", "template", "segment"], "left")
+        named = chi.select("host", "template", "segment", F.when(F.col("like").isNotNull(), wild("like")).when(
+            joins, wild("kind")).otherwise(F.col("segment")).alias("name"), "like", (F.col("all") == F.col("total")).alias("only"))
+        # a class of one labelled branch takes the wildcard too if a branch without labels joins it
+        joined = named.filter("like IS NOT NULL").select("host", "template", F.col("like").alias("kind")).distinct()
+        named = named.join(branches.select("host", "template", "segment", "kind"), ["host", "template", "segment"]).join(
+            joined.withColumn("met", F.lit(True)), ["host", "template", "kind"], "left").select(
+            "host", "template", "segment", F.when(F.col("met") & F.col("only"), wild("kind")).otherwise(F.col("name")).alias("name"))
         rows = rows.join(bounded(staged(named, "url-branches")), ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop(
+            "template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).withColumn(
+            "trail", F.when(F.col("name").isNull(), F.col("trail")).otherwise(F.concat("trail", F.array("template")))).drop(
             "name", "segment", "shape")
     return rows.drop("segments")
 
@@ -96,9 +125,14 @@ def judged_paths(paths, depth=DEPTH, least=LEAST, weight=WEIGHT, reject=REJECT):
     rows = staged(templates(paths, depth, least), "url-templates")
     labelled, blocked = paths.agg(F.sum("labelled"), F.sum("blocked")).first()
     prior = min(0.5, (blocked or 0) / max(labelled or 0, 1))
-    purity = (F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)
-    per = rows.groupBy("host", "template").agg(purity.alias("purity"), F.sum("labelled").alias("n"))
-    per = per.withColumn("learned", F.when((F.col("n") > 0) & (F.col("purity") >= reject), "block").otherwise("allow")).drop("n")
+    nodes = rows.select("host", F.explode("trail").alias("node"), "labelled", "blocked").groupBy("host", "node").agg(
+        F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    ways = rows.select("host", "template", F.posexplode("trail").alias("level", "node")).distinct()
+    steps = ways.join(nodes, ["host", "node"]).groupBy("host", "template").agg(  # one step a level
+        F.sort_array(F.collect_list(F.struct("level", "n", "b"))).alias("steps"))
+    purity = F.aggregate("steps", F.lit(float(prior)), lambda up, s: (s["b"] + weight * up) / (s["n"] + weight))
+    per = steps.select("host", "template", purity.alias("purity"))
+    per = per.withColumn("learned", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return rows.select("host", "flat", "template").join(bounded(staged(per, "url-purity")), ["host", "template"])
 
 

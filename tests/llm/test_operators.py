@@ -77,6 +77,25 @@ def test_op2(spark, folder):
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
 
 
+def test_url_evidence_reaches_pages_without_rule(spark):
+    """Unlabelled pages follow their host's labels, or the labelled branch beside them that they are like."""
+    from newsloom.llm import url_filter
+    rules = (("block", "pills.com", "/de/"), ("allow", "good.com", "/fr/"), ("block", "both.com", "/bad/"), ("allow", "both.com", "/fine/"))
+    want = {}
+    for k in range(40):
+        want |= {f"http://pills.com/de/page/{k}": "block", f"http://pills.com/xx/long/way/to/{k}": "block", f"http://pills.com/u{k}": "block",
+                 f"http://good.com/fr/page/{k}": "allow", f"http://good.com/xx/{k}": "allow", f"http://bare.com/de/{k}": "allow",
+                 f"http://both.com/bad/a/b/{k}": "block", f"http://both.com/fine/{k}": "allow", f"http://both.com/more/a/b/{k}": "block",
+                 f"http://both.com/else/{k}": "allow", f"http://both.com/odd/a/b/c/d/{k}": "allow"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(want)], "page_id long, url string")
+    rows = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert {u: rows[k].verdict for k, u in enumerate(want)} == want
+    # a template without labels has its parent's purity
+    bare = next(rows[k] for k, u in enumerate(want) if "odd" in u)
+    host = (40 + 4 * 0.5) / (80 + 4)
+    assert bare.purity == pytest.approx((0 + 4 * host) / (0 + 4))
+
+
 def test_op3(spark, folder, docs):
     import numpy as np
     import public_tokenizers
