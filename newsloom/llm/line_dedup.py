@@ -1,12 +1,14 @@
-"""Line dedup (5): a log-template tree of fixed depth; lines of templates that recur across documents are dropped.
-
-A line's words are generalised where they vary by nature: words with a digit and addresses become one wildcard. The tree
-has three levels: the number of words, the ``lead`` first generalised words, and in each leaf its templates. Leaves with fewer than
-``min_docs`` lines are left at once. In the others the word places are counted: where one word fills at least ``constant`` of
-the leaf's lines it is part of the leaf's common template, elsewhere the template has a wildcard. A line belongs to the
-common template if it agrees at all its constant places and these are at least ``similar`` of its words; any other line has
-its own generalised text as template. Templates met in ``min_docs`` or more documents are boilerplate: their lines are
-dropped, but for the first one (smallest doc_id, then place), so no content is lost altogether. Lines of fewer than
+"""Line dedup (5): a log-template tree of fixed depth; repeats and lines of templates that recur across documents are dropped.
+
+Word for word repeats (blanks aside) go from the second document on. For templates with wildcards a line's words are generalised
+where they vary by nature: words with a digit and addresses become one wildcard. The tree has three levels: the number of words, the
+``lead`` first generalised words, and in each leaf its templates. Leaves with fewer than ``min_docs`` lines are left at once. In
+the others the words are counted by place: a line's template keeps those met ``min_docs`` times at their place and has wildcards
+elsewhere, so a leaf gets as many templates as it has combinations of words. Since the words of a variable field may be frequent too,
+every line also has the templates that leave out one more word beyond the lead. A template with wildcards counts only if at least
+``similar`` of its words are constant. Templates met in ``min_docs`` or more documents are boilerplate.
+
+Of each repeat or template the first line stays (smallest doc_id, then place), so no content is lost altogether. Lines of fewer than
 ``least`` words recur by chance and stay.
 
 Null texts stay null, blank lines stay. Rows equal in id and text are one document and get the same result. A null doc_id comes
@@ -23,7 +25,6 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:[0-9@]|://)[^\x20\x09-\x0
 MIN_DOCS = 6
 LEAST = 4
 LEAD = 3
-CONSTANT = 0.5
 SIMILAR = 0.7
 #: A leaf's key in a broadcast table takes some 50 bytes; more rows than these are joined by a shuffle.
 LEAVES = 500_000
@@ -35,41 +36,48 @@ def generalised(line):
 
 
 def template_lines(docs, least=LEAST, lead=LEAD):
-    """One row per line of at least ``least`` words: doc, key, nth, leaf, own template and the generalised text."""
+    """One row per line of at least ``least`` words: doc, key, nth, number of words, leaf, raw line's hash and the generalised text."""
     lines = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"),
                         F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     lines = lines.withColumn("flat", generalised(F.col("line"))).withColumn(
         "n", F.length("flat") - F.length(F.translate("flat", " ", "")) + 1).filter(F.col("n") >= least)
+    raw = F.trim(F.regexp_replace("line", BLANK + "+", " "))
     return lines.select("doc", "key", "nth", "n", F.xxhash64("n", F.substring_index("flat", " ", lead)).alias("leaf"),
-                        F.xxhash64("n", "flat").alias("own"), "flat")
-
-
-def common_templates(lines, constant=CONSTANT):
-    """leaf and the constant places of its common template: array of (place, word)."""
-    words = lines.select("leaf", F.posexplode(F.split("flat", " ")).alias("place", "word"))
-    counts = words.groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("uses"))
-    places = counts.groupBy("leaf", "place").agg(
-        F.max(F.struct("uses", "word")).alias("top"), F.sum("uses").alias("lines")).filter(
-        (F.col("top.uses") >= constant * F.col("lines")) & (F.col("top.word") != WILD))
-    return places.groupBy("leaf").agg(  # as long as one line
-        F.sort_array(F.collect_list(F.struct("place", F.col("top.word").alias("word")))).alias("fixed"))
+                        F.xxhash64(raw).alias("raw"), "flat")
+
+
+def line_templates(lines, min_docs=MIN_DOCS, lead=LEAD, similar=SIMILAR):
+    """template, doc, key and nth: the line's template of frequent words, and those that leave out one of them."""
+    words = lines.select("doc", "key", "nth", "n", "leaf", F.posexplode(F.split("flat", " ")).alias("place", "word"))
+    frequent = words.filter(F.col("word") != WILD).groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("uses")).filter(
+        F.col("uses") >= min_docs).select("leaf", "place", "word", F.xxhash64("place", "word").alias("hash"))
+    late = F.col("place") >= lead
+    made = words.join(frequent, ["leaf", "place", "word"], "left").groupBy("doc", "key", "nth", "n", "leaf").agg(
+        F.bit_xor(F.coalesce("hash", F.lit(0).cast("long"))).alias("bits"), F.count("hash").alias("fixed"),
+        F.collect_list(F.when(late & F.col("hash").isNotNull(), F.struct("place", "hash"))).alias("one"))  # as long as one line
+    all_ = F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("hash"))
+    made = made.withColumn("less", F.explode(F.concat(F.array(all_), "one")))
+    out = F.when(F.col("less.place") < 0, 0).otherwise(1)
+    made = made.filter(F.col("fixed") - out >= similar * F.col("n"))
+    return made.select(F.xxhash64("leaf", "less.place", F.col("bits").bitwiseXOR(F.col("less.hash"))).alias("template"), "doc", "key", "nth")
+
+
+def repeated(lines, min_docs):
+    """doc, key and nth of the lines whose template is met in ``min_docs`` documents, without the template's first line."""
+    met = lines.groupBy("template").agg(F.count_distinct(F.coalesce("doc", F.lit(-1))).alias("docs"),
+                                        F.min(F.struct("doc", "key", "nth")).alias("first")).filter(F.col("docs") >= min_docs)
+    return lines.join(met, "template").filter(~F.struct("doc", "key", "nth").eqNullSafe(F.col("first"))).select("doc", "key", "nth")
 
 
-def recurring(docs, min_docs=MIN_DOCS, least=LEAST, lead=LEAD, constant=CONSTANT, similar=SIMILAR):
-    """doc, key and nth of the lines to drop."""
+def recurring(docs, min_docs=MIN_DOCS, least=LEAST, lead=LEAD, similar=SIMILAR):
+    """doc, key and nth of the lines to drop; a line may be named twice."""
     lines = template_lines(docs, least, lead)
-    hot = staged(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= min_docs).select("leaf"), "lines-leaves")
+    hashes = staged(lines.select("doc", "key", "nth", "leaf", "raw"), "lines-hashes")
+    exact = repeated(hashes.withColumnRenamed("raw", "template"), 2)
+    hot = staged(hashes.groupBy("leaf").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= min_docs).select("leaf"), "lines-leaves")
     lines = staged(lines.join(bounded(hot, LEAVES), "leaf"), "lines-met")
-    fixed = staged(common_templates(lines, constant), "lines-fixed")
-    # the words are bound once: a column read inside the inner function would be split again for each place
-    agrees = (F.size("fixed") >= similar * F.col("n")) & F.exists(
-        F.array(F.split("flat", " ")), lambda words: F.forall("fixed", lambda f: words[f["place"]] == f["word"]))
-    lines = lines.join(fixed, "leaf", "left")
-    lines = lines.withColumn("template", F.when(F.coalesce(agrees, F.lit(False)), F.col("leaf")).otherwise(F.col("own")))
-    lines = staged(lines.select("template", "doc", "key", "nth"), "lines-templates")
-    met = lines.groupBy("template").agg(F.count_distinct(F.coalesce("doc", F.lit(-1))).alias("docs"),
-                                        F.min(F.struct("doc", "key", "nth")).alias("first")).filter(F.col("docs") >= min_docs)
-    return lines.join(met, "template").filter(~F.struct("doc", "key", "nth").eqNullSafe(F.col("first"))).select("doc", "key", "nth")
+    made = staged(line_templates(lines, min_docs, lead, similar), "lines-templates")
+    return exact.union(repeated(made, min_docs))
 
 
 def drop_lines(docs, **options):

@@ -60,6 +60,17 @@ def test_recurring_templates(spark):
     assert sum("Posted by" in (t or "") for t in got.values()) == 1 and "Posted by" in got[0]
 
 
+def test_exact_repeats_and_hidden_templates(spark):
+    """A line repeated in two documents goes from the second; two templates of one leaf with a field of names do not hide each other."""
+    names = [f"{a}{b}" for a in ("al", "be", "co", "du", "el") for b in ("na", "ro", "mi")]
+    rows = [(k, f"we thank our guest {name} for the visit\nwe thank our member {name} for all help\nown words of {name * 3} here") for k, name in enumerate(names)]
+    rows += [(50, "this very line stands twice\nshort a b"), (51, "x\nthis  very line stands twice \nshort a b")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == rows[15][1] and got[51] == "x\nshort a b"
+    for part in ("our guest", "our member"):
+        assert [d for d in sorted(got) if part in got[d]] == [0]
+
+
 def test_one_of_each_group(tables):
     """A document goes only for one kept of the same group; close fingerprints never stay together."""
     rows = tables["line_dedup"]
