@@ -6,7 +6,8 @@ where they vary by nature: words with a digit and addresses become one wildcard.
 the others the words are counted by place: a line's template keeps those met ``min_docs`` times at their place and has wildcards
 elsewhere, so a leaf gets as many templates as it has combinations of words. Since the words of a variable field may be frequent too,
 every line also has the templates that leave out one more word beyond the lead. A template with wildcards counts only if at least
-``similar`` of its words are constant. Templates met in ``min_docs`` or more documents are boilerplate.
+``similar`` of its words are constant, and ``beyond`` of those after the lead; so short lines and rows of numbers recur only as they
+are. Templates met in ``min_docs`` or more documents are boilerplate.
 
 Of each repeat or template the first line stays (smallest doc_id, then place), so no content is lost altogether. Lines of fewer than
 ``least`` words recur by chance and stay.
@@ -26,6 +27,7 @@ MIN_DOCS = 6
 LEAST = 4
 LEAD = 3
 SIMILAR = 0.7
+BEYOND = 0.6
 #: A leaf's key in a broadcast table takes some 50 bytes; more rows than these are joined by a shuffle.
 LEAVES = 500_000
 
@@ -46,7 +48,7 @@ def template_lines(docs, least=LEAST, lead=LEAD):
                         F.xxhash64(raw).alias("raw"), "flat")
 
 
-def line_templates(lines, min_docs=MIN_DOCS, lead=LEAD, similar=SIMILAR):
+def line_templates(lines, min_docs=MIN_DOCS, lead=LEAD, similar=SIMILAR, beyond=BEYOND):
     """template, doc, key and nth: the line's template of frequent words, and those that leave out one of them."""
     words = lines.select("doc", "key", "nth", "n", "leaf", F.posexplode(F.split("flat", " ")).alias("place", "word"))
     frequent = words.filter(F.col("word") != WILD).groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("uses")).filter(
@@ -54,11 +56,12 @@ def line_templates(lines, min_docs=MIN_DOCS, lead=LEAD, similar=SIMILAR):
     late = F.col("place") >= lead
     made = words.join(frequent, ["leaf", "place", "word"], "left").groupBy("doc", "key", "nth", "n", "leaf").agg(
         F.bit_xor(F.coalesce("hash", F.lit(0).cast("long"))).alias("bits"), F.count("hash").alias("fixed"),
+        F.count(F.when(late, F.col("hash"))).alias("ends"),
         F.collect_list(F.when(late & F.col("hash").isNotNull(), F.struct("place", "hash"))).alias("one"))  # as long as one line
     all_ = F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("hash"))
     made = made.withColumn("less", F.explode(F.concat(F.array(all_), "one")))
     out = F.when(F.col("less.place") < 0, 0).otherwise(1)
-    made = made.filter(F.col("fixed") - out >= similar * F.col("n"))
+    made = made.filter((F.col("fixed") - out >= similar * F.col("n")) & (F.col("ends") - out >= beyond * (F.col("n") - lead)))
     return made.select(F.xxhash64("leaf", "less.place", F.col("bits").bitwiseXOR(F.col("less.hash"))).alias("template"), "doc", "key", "nth")
 
 
@@ -69,14 +72,14 @@ def repeated(lines, min_docs):
     return lines.join(met, "template").filter(~F.struct("doc", "key", "nth").eqNullSafe(F.col("first"))).select("doc", "key", "nth")
 
 
-def recurring(docs, min_docs=MIN_DOCS, least=LEAST, lead=LEAD, similar=SIMILAR):
+def recurring(docs, min_docs=MIN_DOCS, least=LEAST, lead=LEAD, similar=SIMILAR, beyond=BEYOND):
     """doc, key and nth of the lines to drop; a line may be named twice."""
     lines = template_lines(docs, least, lead)
     hashes = staged(lines.select("doc", "key", "nth", "leaf", "raw"), "lines-hashes")
     exact = repeated(hashes.withColumnRenamed("raw", "template"), 2)
     hot = staged(hashes.groupBy("leaf").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= min_docs).select("leaf"), "lines-leaves")
     lines = staged(lines.join(bounded(hot, LEAVES), "leaf"), "lines-met")
-    made = staged(line_templates(lines, min_docs, lead, similar), "lines-templates")
+    made = staged(line_templates(lines, min_docs, lead, similar, beyond), "lines-templates")
     return exact.union(repeated(made, min_docs))
 
 
