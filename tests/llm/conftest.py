@@ -28,13 +28,27 @@ def folder(tmp_path_factory):
     more = pa.table({"page_id": pa.array(range(9000, 9000 + len(urls)), pages.schema.field("page_id").type), "url": urls,
                      "html": pa.array([None] * len(urls), pa.string())})
     pq.write_table(pa.concat_tables([pages.select(more.column_names), more]), out / "pages.parquet")
+    talks = pq.read_table(f"{SF}/conversations.parquet")
+    # a deep conversation shared from its family's first one, a null conversation, null turns, roles and texts, repeated rows, ties
+    odd = [(1000, k, "user", f"turn {k}") for k in range(600)] + [(c, k, "user", f"turn {k}") for c in (1001, 1002, 2000) for k in range(600 - c % 7)]
+    odd += [(None, 0, "user", "lost"), (1003, None, None, None), (1003, None, None, None), (1003, 0, "user", "é"), (1003, 0, "user", "é")]
+    odd += [(c, 0, "user", "hello") for c in range(3000, 3040)] + [(3050 + c, c, None, "") for c in range(9)]
+    more = pa.table({n: pa.array([r[k] for r in odd], talks.schema.field(n).type) for k, n in enumerate(("conv_id", "turn", "role", "text"))})
+    talks = pa.concat_tables([talks.select(more.column_names), more])
+    pq.write_table(talks.append_column("depth", pa.array([1] * talks.num_rows)), out / "conversations.parquet")
+    vectors = pq.read_table(f"{SF}/embeddings.parquet").select(["vec_id", "embedding"])
+    some = vectors.column("embedding")[0].as_py()
+    odd = [None, [], [None] * 64, some, some, [float("nan")] + some[1:], some[1:] + [float("-inf")], some[:5], [1e6] + some[1:], [x * 3 for x in some]]
+    more = pa.table({"vec_id": pa.array([*range(9000, 9008), None, None], vectors.schema.field("vec_id").type),
+                     "embedding": pa.array(odd, vectors.schema.field("embedding").type)})
+    pq.write_table(pa.concat_tables([vectors, more]).append_column("n", pa.array([1] * (vectors.num_rows + 10))), out / "embeddings.parquet")
     return str(out)
 
 
 @pytest.fixture(scope="session")
 def empty(folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("none")
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations", "embeddings"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), out / f"{name}.parquet")
     return str(out)
 
