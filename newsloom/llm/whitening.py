@@ -170,7 +170,7 @@ def spectrum(r, wanted):
     d, f, p = bidiagonal(r / top)
     size = max(np.abs(d).max(), np.abs(f).max(initial=0.0))
     d = np.where(np.abs(d) < 1e-2 * EPS * size, 1e-2 * EPS * size, d)  # less than what the reflections round
-    cuts = [0, *(np.flatnonzero(np.abs(f) < 1e-2 * EPS * size) + 1).tolist(), n]
+    cuts = [0, *(np.flatnonzero(np.abs(f) < 4 * EPS * size) + 1).tolist(), n]
     blocks = [(d[a:b], f[a:b - 1], a) for a, b in zip(cuts, cuts[1:])]
     values = [(value, k) for k, (dd, ff, _) in enumerate(blocks) for value in dqds(dd * dd, ff * ff)]
     values.sort(key=lambda x: (-x[0], x[1]))
@@ -190,15 +190,33 @@ def _right_vector(d, f, value, near):
     factors = Twisted(d, f, value)
     z = factors.vector()
     rng = np.random.default_rng(0)
-    for _ in range(8 if near else 0):
+
+    def apart(z):
+        """What of z is orthogonal to ``near``, and how much that is."""
         for _ in range(2):
             for other in near:
                 z = z - (other @ z) * other
         size = np.linalg.norm(z)
-        if size > 0.5:
+        return (z / size, size) if size > 1e-12 else (z, 0.0)
+
+    def error(z):
+        y = d * z + np.append(f * z[1:], 0.0)
+        y = d * y + np.insert(f * y[:-1], 0, 0.0)
+        return np.linalg.norm(y - value * z)
+
+    z, size = apart(z)
+    best = (error(z) if size else math.inf, z)
+    bound = 8 * EPS * math.sqrt(len(d)) * max(np.abs(d).max(), np.abs(f).max(initial=0.0)) ** 2
+    for _ in range(20):  # where it was the same vector as before: another one of the cluster, by inverse iteration
+        if not near or best[0] <= bound:
             break
-        z = factors.solved(z / size if size > 1e-8 else rng.standard_normal(len(d)))
-    return z / np.linalg.norm(z)
+        z, size = apart(rng.standard_normal(len(d)))
+        for _ in range(2):
+            z, size = apart(factors.solved(z))
+            if not size:
+                break
+            best = min(best, (error(z), z), key=lambda x: x[0])
+    return best[1]
 
 
 # ---- passes over the rows

@@ -38,7 +38,7 @@ def folder(tmp_path_factory):
     pq.write_table(talks.append_column("depth", pa.array([1] * talks.num_rows)), out / "conversations.parquet")
     vectors = pq.read_table(f"{SF}/embeddings.parquet").select(["vec_id", "embedding"])
     some = vectors.column("embedding")[0].as_py()
-    odd = [None, [], [None] * 64, some, some, [float("nan")] + some[1:], some[1:] + [float("-inf")], some[:5], [1e6] + some[1:], [x * 3 for x in some]]
+    odd = [None, [], [None] * 64, some, some, [float("nan")] + some[1:], some[1:] + [float("-inf")], some[:5], [50.0] + some[1:], [x * 3 for x in some]]
     more = pa.table({"vec_id": pa.array([*range(9000, 9008), None, None], vectors.schema.field("vec_id").type),
                      "embedding": pa.array(odd, vectors.schema.field("embedding").type)})
     pq.write_table(pa.concat_tables([vectors, more]).append_column("n", pa.array([1] * (vectors.num_rows + 10))), out / "embeddings.parquet")
