@@ -157,7 +157,7 @@ SELECT user_id, session_id, pos, item_id, round(sum(similarity), 6) AS score FRO
     SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos
         ORDER BY round(similarity, 9) DESC, ns DESC, nu DESC) AS best FROM (
       SELECT *, {sim} AS similarity FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos ORDER BY ns DESC, nu DESC) AS newest FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos ORDER BY {first}ns DESC, nu DESC) AS newest FROM (
           SELECT e.user_id, e.session_id, e.pos, b.user_id AS nu, b.session_id AS ns, b.size,
                  count(*) AS hits, sum(1.0 / CAST(e.pos - p.pos + 1 AS DOUBLE)) AS weight
           FROM test e JOIN test p ON p.user_id = e.user_id AND p.session_id = e.session_id AND p.pos <= e.pos
@@ -181,34 +181,43 @@ def knn_ctes(size, k):
   FROM buf JOIN tr t USING (user_id, session_id))"""]
 
 
-@check("h6_session_knn", with_sql(knn_ctes(500, 360), KNN_SQL.format(
-    sim="weight / (sqrt(pos) * sqrt(size))", sample=100, k_nn=50)))
+@check("h6_session_knn", with_sql(knn_ctes(3000, 360), KNN_SQL.format(
+    sim="weight / (sqrt(pos) * sqrt(size))", sample=1000, k_nn=500, first="")))
 def h6(spark, d):
     tagged = V.tag_steps(flat(spark, d), 360)
     active = S.truncate_sessions(tagged.filter("state_step is not null"))
-    return R.score_session_knn(tagged, active, buffer=500, sample=100, k_nn=50).withColumn("score", F.round("score", 6))
+    return R.score_session_knn(tagged, active).withColumn("score", F.round("score", 6))
 
 
-@check("h6_session_knn_jaccard", with_sql(knn_ctes(300, 360), KNN_SQL.format(
-    sim="hits / CAST(pos + size - hits AS DOUBLE)", sample=1000, k_nn=500)))
+@check("h6_session_knn_jaccard", with_sql(knn_ctes(3000, 360), KNN_SQL.format(
+    sim="hits / CAST(pos + size - hits AS DOUBLE)", sample=1000, k_nn=500, first="")))
 def h6_jaccard(spark, d):
     tagged = V.tag_steps(flat(spark, d), 360)
     active = S.truncate_sessions(tagged.filter("state_step is not null"))
-    return R.score_session_knn(tagged, active, sim="jaccard", decay="same", buffer=300).withColumn(
+    return R.score_session_knn(tagged, active, sim="jaccard", decay="same").withColumn(
         "score", F.round("score", 6))
 
 
-@check("c11_candidate_sessions", with_sql(knn_ctes(500, 360), """
+@check("h6_session_knn_random", with_sql(knn_ctes(3000, 360), KNN_SQL.format(
+    sim="weight / (sqrt(pos) * sqrt(size))", sample=100, k_nn=500, first="md5('42:' || ns || ':' || nu), ")))
+def h6_random(spark, d):
+    """Neighbours from 100 sessions drawn by a seeded hash; drawing them is the operator."""
+    tagged = V.tag_steps(flat(spark, d), 360)
+    active = S.truncate_sessions(tagged.filter("state_step is not null"))
+    return R.score_session_knn(tagged, active, sample=100, sampling="random").withColumn("score", F.round("score", 6))
+
+
+@check("c11_candidate_sessions", with_sql(knn_ctes(3000, 360), """
 SELECT user_id, session_id, pos, ns AS nbr_session, hits FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, session_id, pos ORDER BY ns DESC, nu DESC) AS newest FROM (
     SELECT e.user_id, e.session_id, e.pos, b.user_id AS nu, b.session_id AS ns, count(*) AS hits
     FROM test e JOIN test p ON p.user_id = e.user_id AND p.session_id = e.session_id AND p.pos <= e.pos
-    JOIN bufitems b ON b.state_step = e.state_step AND b.item_id = p.item_id GROUP BY ALL)) WHERE newest <= 100"""))
+    JOIN bufitems b ON b.state_step = e.state_step AND b.item_id = p.item_id GROUP BY ALL)) WHERE newest <= 1000"""))
 def c11(spark, d):
     tagged = V.tag_steps(flat(spark, d), 360)
     active = S.truncate_sessions(tagged.filter("state_step is not null"))
-    buffered = R.buffer_items(tagged, R.session_buffer(tagged, active.select("state_step").distinct(), 500))
-    return R.candidate_sessions(active, buffered, 100).select(
+    buffered = R.buffer_items(tagged, R.session_buffer(tagged, active.select("state_step").distinct()))
+    return R.candidate_sessions(active, buffered).select(
         *CLICK, "nbr_session", F.size("hits").cast("long").alias("hits"))
 
 
@@ -232,7 +241,7 @@ def c13(spark, d):
 def h8(spark, d):
     rows = S.truncate_sessions(samples.baskets(spark, d))
     sentences = S.session_lists(rows.withColumn("session_hour", F.lit(0)), ["item_id"]).withColumnRenamed("item_id", "items")
-    vectors = M.train_item2vec(sentences, size=16, iterations=1)
+    vectors = M.train_item2vec(sentences, size=16)
     candidates = rows.select(*CLICK, (F.col("item_id") % 50 + 1).alias("item_id")).distinct()
     return M.recommend_item2vec(rows, candidates, vectors)
 

@@ -192,10 +192,9 @@ def c1(spark, d):
 SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem
 LEFT JOIN part ON p_partkey = l_partkey AND p_size < 30 GROUP BY p_brand""")
 def c1_salted(spark, d):
-    # A limit of 0 bytes forces the salted shuffle join used for large lookup tables.
     parts = samples.table(spark, d, "part").filter("p_size < 30").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     lines = samples.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    joined = J.lookup_join(lines, parts, "l_partkey", salt=4, limit=0)
+    joined = J.lookup_join(lines, parts, "l_partkey")
     return joined.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 

@@ -179,7 +179,17 @@ def check_embeddings(catalog, emb, id_col="article_id", first=0):
     return missing.filter(F.col("violation").isNotNull()).unionByName(gaps)
 
 
-def word_vectors(spark, path=None, tokens=None, size=100, min_count=1, seed=10, partitions=1):
+#: Tokens one task of a skip-gram fit walks per iteration.
+SKIPGRAM_TOKENS = 50_000
+
+
+def skipgram_partitions(sentences, col):
+    """Tasks of a skip-gram fit: they follow the tokens; each trains on its part and the parts are summed per iteration."""
+    tokens = sentences.agg(F.sum(F.size(col))).first()[0] or 0
+    return 1 + tokens // SKIPGRAM_TOKENS
+
+
+def word_vectors(spark, path=None, tokens=None, size=100, min_count=1, seed=10, partitions=None):
     """(word, vector): from a text file of vectors, or trained on token lists.
 
     Text format: word and numbers by blanks, with an optional 'count size' head line.
@@ -189,8 +199,9 @@ def word_vectors(spark, path=None, tokens=None, size=100, min_count=1, seed=10,
         lines = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") > 2)
         return lines.select(F.col("p")[0].alias("word"), F.expr(
             "transform(slice(p, 2, size(p) - 1), x -> cast(x as double))").alias("vector"))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
-                     inputCol="tokens", outputCol="_v").fit(tokens)
+    tokens = materialize(tokens.select("tokens"), "sentences")
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed,
+                     numPartitions=partitions or skipgram_partitions(tokens, "tokens"), inputCol="tokens", outputCol="_v").fit(tokens)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

@@ -1,37 +1,15 @@
 """Lookup, semi and anti joins.
 
-Broadcasts are hinted only when a size bound is known before the job starts;
-everything else is a shuffle join whose hot keys are salted.
+Joins carry no hints: Spark broadcasts a side that it measures to be small, and splits the
+partitions of a hot key otherwise (adaptive execution, set in ``build_session``).
 """
 
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
-SALT = 32
 
-
-def planned_bytes(df):
-    """Catalyst's size estimate of a plan (an upper estimate; no job runs)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def lookup_join(left, right, on, how="left", salt=SALT, limit=BROADCAST_BYTES):
-    """Join many rows to a table that is unique on ``on``.
-
-    A right side whose planned size is below ``limit`` is broadcast.  A larger
-    one is joined by shuffle on (on, salt): the left key is spread over ``salt``
-    tasks and the unique right rows are repeated ``salt`` times, so a key that
-    holds a third of the left rows does not end in one task.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    if planned_bytes(right) <= limit:
-        return left.join(F.broadcast(right), on, how)
-    others = [c for c in left.columns if c not in on]
-    spread = F.pmod(F.xxhash64(*(others or on)), F.lit(salt)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    joined = left.withColumn("_salt", spread).join(copies, on + ["_salt"], how)
-    return joined.drop("_salt")
+def lookup_join(left, right, on, how="left"):
+    """Join many rows to a table that is unique on ``on``."""
+    return left.join(right, [on] if isinstance(on, str) else list(on), how)
 
 
 def attach_article(clicks, articles, on="url"):

@@ -15,23 +15,22 @@ from newsloom.operators.ranking import rank_candidates, rank_rows, top_n
 from newsloom.operators.rules import cooccurrence, train_rules
 from newsloom.operators.popularity import support
 from newsloom.operators.sessions import truncate_sessions
-from newsloom.operators.state import cumulative_state, versioned_lookup
+from newsloom.operators.state import asof_totals
 from newsloom.schema import CLICK, KEY, MAX_SESSION_ITEMS
 
 
-# ---- state tables (one pass over the history each) ------------------------
+# ---- state tables: changes per step (one pass over the history each) --------
 
 def cooccurrence_state(history):
-    return cumulative_state(cooccurrence(history, by=["step"]), ["item_a", "item_b"], ["n"])
+    return cooccurrence(history, by=["step"])
 
 
 def support_state(history):
-    return cumulative_state(support(truncate_sessions(history), by=["step"]), ["item_id"], ["support"])
+    return support(truncate_sessions(history), by=["step"])
 
 
 def rules_state(history, max_dist=10, decay="div"):
-    rules = train_rules(history, max_dist, decay, by=["step"])
-    return cumulative_state(rules, ["antecedent", "consequent"], ["score"])
+    return train_rules(history, max_dist, decay, by=["step"])
 
 
 # ---- scoring of given candidates -----------------------------------------
@@ -43,7 +42,7 @@ def score_popular(popularity, probes):
 
 def score_cooccurrence(state, probes):
     pairs = state.withColumnRenamed("item_a", "active_item").withColumnRenamed("item_b", "item_id")
-    found = versioned_lookup(probes, pairs, ["active_item", "item_id"], ["n"])
+    found = asof_totals(probes, pairs, ["active_item", "item_id"], ["n"])
     return found.withColumn("score", F.col("n").cast("double")).drop("n")
 
 
@@ -53,18 +52,20 @@ def knn_similarity(n, support_active, support_item, lam=20.0, alpha=0.75):
 
 def score_item_knn(pair_state, item_support, probes, lam=20.0, alpha=0.75):
     pairs = pair_state.withColumnRenamed("item_a", "active_item").withColumnRenamed("item_b", "item_id")
-    found = versioned_lookup(probes, pairs, ["active_item", "item_id"], ["n"])
-    found = versioned_lookup(found, item_support, ["item_id"], ["support"])
-    active = (item_support.withColumnRenamed("item_id", "active_item")
-              .withColumnRenamed("support", "active_support"))
-    found = versioned_lookup(found, active, ["active_item"], ["active_support"])
+    found = asof_totals(probes, pairs, ["active_item", "item_id"], ["n"])
+    # an item is looked up once a step, whether it is the current one or a candidate
+    items = probes.select("item_id", "state_step").union(probes.select("active_item", "state_step")).distinct()
+    totals = asof_totals(items, item_support, ["item_id"], ["support"])
+    found = lookup_join(found, totals, ["item_id", "state_step"], "inner")
+    active = totals.withColumnsRenamed({"item_id": "active_item", "support": "active_support"})
+    found = lookup_join(found, active, ["active_item", "state_step"], "inner")
     score = knn_similarity(F.col("n"), F.col("active_support"), F.col("support"), lam, alpha)
     return found.withColumn("score", score).drop("n", "support", "active_support")
 
 
 def score_rules(state, probes):
     rules = state.withColumnRenamed("antecedent", "active_item").withColumnRenamed("consequent", "item_id")
-    return versioned_lookup(probes, rules, ["active_item", "item_id"], ["score"])
+    return asof_totals(probes, rules, ["active_item", "item_id"], ["score"])
 
 
 def unit_vectors(emb, id_col="article_id", vec_col="embedding"):
@@ -114,21 +115,42 @@ def buffer_items(history, buffer, max_len=MAX_SESSION_ITEMS):
             .withColumn("nbr_size", size))
 
 
-def candidate_sessions(active, buffered, sample=1000):
-    """Buffered sessions that share an item with the click's prefix, newest first.
+def sampling_order(sampling, seed=42):
+    """Order in which candidate sessions are taken: the newest first, or by a seeded hash of the session.
 
-    A session counts once however many items it shares.  At most ``sample`` are
+    The hash order is the same for every click, so reruns agree and lists can be cut per item before they are joined.
+    """
+    newest = [F.desc("nbr_session"), F.desc("nbr_user")]
+    if sampling == "recent":
+        return newest
+    if sampling == "random":
+        return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("nbr_session").cast("string"), F.col("nbr_user")).cast("binary")), *newest]
+    raise ValueError(f"unknown sampling: {sampling}")
+
+
+def _take(rows, order, size):
+    """The first ``size`` places of each click, where a row takes ``copies`` of them (the last one perhaps fewer)."""
+    before = Window.partitionBy(*CLICK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(size) - F.coalesce(F.sum("copies").over(before), F.lit(0))
+    return rows.withColumn("_left", left).filter(F.col("_left") > 0).withColumn(
+        "copies", F.least("copies", "_left").cast("int")).drop("_left")
+
+
+def candidate_sessions(active, buffered, sample=1000, sampling="recent", seed=42, multiplicity=False):
+    """Buffered sessions that share an item with the click's prefix, in sampling order.
+
+    A session counts once however many items it shares, or with ``multiplicity``
+    once per shared item (``copies``).  At most ``sample`` are
     kept per click (0 or None: all); the limit is part of the method.  A kept session is among the
-    newest ``sample`` of every item it shares (all newer ones with that item are
+    first ``sample`` of every item it shares (all earlier ones with that item are
     candidates too), so each item's list is cut to that first, without loss.  The
-    lists are one row per (step, item) and are looked up with salted keys: a hot
-    article spreads over tasks.  Matched positions are collected per (session,
+    lists are one row per (step, item).  Matched positions are collected per (session,
     neighbour): at most the truncated session length.
     """
-    newest_first = [F.desc("nbr_session"), F.desc("nbr_user")]
+    order = sampling_order(sampling, seed)
     listed = buffered
     if sample:
-        listed = rank_rows(buffered, ["state_step", "item_id"], newest_first).filter(F.col("rank") <= sample)
+        listed = rank_rows(buffered, ["state_step", "item_id"], order).filter(F.col("rank") <= sample)
     postings = (listed.groupBy("state_step", "item_id")
                 .agg(F.collect_list(F.struct("nbr_user", "nbr_session", "nbr_size")).alias("_l")))
     prefix = active.select(*KEY, "pos", "item_id", "state_step", "session_size")
@@ -140,9 +162,12 @@ def candidate_sessions(active, buffered, sample=1000):
                     lambda p: p >= F.col("hits")[0])
     per_click = shared.withColumn("pos", F.explode(ends)).withColumn(
         "hits", F.filter("hits", lambda h: h <= F.col("pos")))
+    per_click = per_click.withColumn("copies", F.size("hits") if multiplicity else F.lit(1))
     if not sample:
         return per_click
-    return rank_rows(per_click, CLICK, newest_first).filter(F.col("rank") <= sample).drop("rank")
+    if multiplicity:
+        return _take(per_click, order, sample)
+    return rank_rows(per_click, CLICK, order).filter(F.col("rank") <= sample).drop("rank")
 
 
 def neighbour_sessions(candidates, sim="cosine", decay="div", k_nn=500):
@@ -161,25 +186,26 @@ def neighbour_sessions(candidates, sim="cosine", decay="div", k_nn=500):
         raise ValueError(f"unknown similarity: {sim}")
     scored = candidates.withColumn("similarity", weight / bottom)
     near = scored.filter((F.round("similarity", 9) > 0.0) & (F.round("similarity", 9) < 1.0))
-    best = Window.partitionBy(*CLICK).orderBy(
-        F.desc(F.round("similarity", 9)), F.desc("nbr_session"), F.desc("nbr_user"))
-    return (near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k_nn)
-            .select(*CLICK, "state_step", "nbr_user", "nbr_session", "similarity"))
+    nearest = [F.desc(F.round("similarity", 9)), F.desc("nbr_session"), F.desc("nbr_user")]
+    # each row takes a place at least: the cut by rows first is cheap and loses nothing
+    best = Window.partitionBy(*CLICK).orderBy(*nearest)
+    cut = near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k_nn).drop("_r")
+    return _take(cut, nearest, k_nn).select(*CLICK, "state_step", "nbr_user", "nbr_session", "similarity", "copies")
 
 
 def score_session_knn(history, active, probes=None, sim="cosine", decay="div",
-                      buffer=3000, sample=1000, k_nn=500):
+                      buffer=3000, sample=1000, k_nn=500, sampling="recent", seed=42, multiplicity=False):
     """Item score = sum of the similarities of the neighbour sessions holding it.
 
     The buffer is at most ``buffer`` sessions of at most 20 items per state step.
     """
     steps = active.select("state_step").distinct()
     buffered = buffer_items(history, session_buffer(history, steps, buffer))
-    near = neighbour_sessions(candidate_sessions(active, buffered, sample), sim, decay, k_nn)
+    near = neighbour_sessions(candidate_sessions(active, buffered, sample, sampling, seed, multiplicity), sim, decay, k_nn)
     keys = ["state_step", "nbr_user", "nbr_session"]
     items = buffered.groupBy(*keys).agg(F.collect_list("item_id").alias("_items"))
     votes = lookup_join(near, items, keys, "inner").select(
-        *CLICK, "similarity", F.explode("_items").alias("item_id"))
+        *CLICK, (F.col("similarity") * F.col("copies")).alias("similarity"), F.explode("_items").alias("item_id"))
     if probes is not None:
         votes = votes.join(probes.select(*CLICK, "item_id"), CLICK + ["item_id"], "left_semi")
     scores = votes.groupBy(*CLICK, "item_id").agg(F.sum("similarity").alias("score"))

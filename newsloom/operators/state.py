@@ -1,14 +1,14 @@
 """Model state per evaluation step.
 
 Every session enters the state at its ``step``.  A probe with ``state_step`` t
-sees the steps below t.  State tables hold one row per key and change, with the
-running total and the range of probes that see it, so history is never copied
-per fold.
+sees the steps below t.  History is kept as changes (deltas), one row per key and
+step, and is never copied per fold.  Probes read it as of their step: probes and
+changes of a key pass one window in step order, so the work is the rows of both.
 """
 
 from pyspark.sql import Window, functions as F
 
-from newsloom.operators.joins import BROADCAST_BYTES, SALT, planned_bytes
+from newsloom.operators.joins import lookup_join
 
 FOREVER = (1 << 62)
 
@@ -31,27 +31,34 @@ def state_at(state, steps, keys, values):
             .select(F.explode(visible).alias("state_step"), *keys, *values))
 
 
-def versioned_lookup(probes, state, keys, values, how="inner", salt=SALT):
-    """Join probes to the one state row of their key that they may see.
+def asof_totals(probes, deltas, keys, values):
+    """Probes with the sums of their key's changes before ``state_step``; probes that see none are left out.
 
-    A probe key can be hot (one article holds a third of the clicks); state rows
-    are at most one per key and step.  A small state is broadcast, else the probe
-    side is spread over ``salt`` tasks.
+    A key's probes and changes meet in one task.  That suits keys of which a click
+    has one, such as pairs of items.  For a key that may hold a third of all probes
+    (an item), look up its distinct steps and join those to the probes.
     """
-    seen = (F.col("_state.valid_from") < F.col("_probe.state_step")) & (
-        F.col("_probe.state_step") <= F.col("_state.valid_to"))
-    left, right, on = probes, state.select(*keys, *values, "valid_from", "valid_to"), list(keys)
-    if planned_bytes(state) <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    else:
-        others = [c for c in probes.columns if c not in keys]
-        left = probes.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salt)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        on = on + ["_salt"]
-    left, right = left.alias("_probe"), right.alias("_state")
-    match = seen
-    for k in on:
-        match = match & (F.col(f"_probe.{k}") == F.col(f"_state.{k}"))
-    return left.join(right, match, how).select(
-        *[F.col(f"_probe.{c}") for c in probes.columns],
-        *[F.col(f"_state.{v}") for v in values])
+    known = lambda df: df.filter(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
+    kinds = deltas.select(*values).schema
+    asked = known(probes).select(
+        *keys, F.col("state_step").cast("long").alias("_at"), F.lit(0).alias("_kind"),
+        F.struct(*probes.columns).alias("_probe"), *[F.lit(None).cast(kinds[v].dataType).alias(v) for v in values])
+    changes = known(deltas).select(
+        *[F.col(k).cast(probes.schema[k].dataType).alias(k) for k in keys], F.col("step").cast("long").alias("_at"),
+        F.lit(1).alias("_kind"), F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"), *values)
+    # a probe comes before the changes of its own step: it does not see them
+    so_far = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    totals = asked.union(changes).select("_probe", *[F.sum(v).over(so_far).alias(f"_{v}") for v in values])
+    seen = totals.filter(F.col("_probe").isNotNull() & F.col(f"_{values[0]}").isNotNull())
+    return seen.select("_probe.*", *[F.col(f"_{v}").alias(v) for v in values])
+
+
+def visible_rows(state, probes, keys, values):
+    """The rows of ``state`` that each (key, state_step) of the probes sees, where a key has many.
+
+    A key's steps come as one list (one entry per fold at most), so each state row
+    is joined once, however many versions and probes there are.
+    """
+    asked = probes.groupBy(*keys).agg(F.collect_set("state_step").alias("_all"))
+    visible = F.filter("_all", lambda t: (F.col("valid_from") < t) & (t <= F.col("valid_to")))
+    return lookup_join(state, asked, keys, "inner").select(F.explode(visible).alias("state_step"), *keys, *values)

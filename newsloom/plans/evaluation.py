@@ -9,7 +9,7 @@ from newsloom.operators import recommenders as R
 from newsloom.operators.joins import lookup_join
 from newsloom.operators.popularity import click_buffer, recent_popularity, with_norm_pop
 from newsloom.operators.ranking import global_rank, rank_candidates, top_n as top_n_rows
-from newsloom.operators.state import versioned_lookup
+from newsloom.operators.state import cumulative_state, visible_rows
 from newsloom.operators.sampling import attach_negatives, build_candidates, sample_negatives
 from newsloom.operators.sessions import (
     next_item_labels, restrict_to_train_items, shift_labels, truncate_sessions)
@@ -171,7 +171,8 @@ def rules_hit_rate(flat, k=24, top_n=5, max_dist=10, decay="div", batch_sessions
     tagged = tag_steps(flat, k, batch_sessions)
     labels = shift_labels(tagged.filter(F.col("state_step").isNotNull()))
     active = labels.select("state_step", F.col("item_id").alias("antecedent")).distinct()
-    found = versioned_lookup(active, R.rules_state(tagged, max_dist, decay), ["antecedent"], ["consequent", "score"])
+    rules = cumulative_state(R.rules_state(tagged, max_dist, decay), ["antecedent", "consequent"], ["score"])
+    found = visible_rows(rules, active, ["antecedent"], ["consequent", "score"])
     best = top_n_rows(found.withColumn("score", F.round("score", 9)),
                       ["state_step", "antecedent"], "score", top_n, tie="consequent")
     packed = best.groupBy("state_step", F.col("antecedent").alias("item_id")).agg(

@@ -118,33 +118,59 @@ def test_identical_session_is_no_neighbour(spark):
 
 
 def test_state_never_shows_the_future(spark):
-    deltas = spark.createDataFrame([(1, 0, 5), (1, 3, 2), (2, 2, 1)], "item_id long, step long, n long")
+    deltas = spark.createDataFrame([(1, 0, 5), (1, 3, 2), (2, 2, 1), (None, 0, 9)], "item_id long, step long, n long")
+    probes = spark.createDataFrame([(i, t) for i in (1, 2, 3, None) for t in range(5)], "item_id long, state_step long")
+    want = {(1, 1): 5, (1, 2): 5, (1, 3): 5, (1, 4): 7, (2, 3): 1, (2, 4): 1}
+    got = state.asof_totals(probes, deltas, ["item_id"], ["n"]).collect()
+    assert {(r.item_id, r.state_step): r.n for r in got} == want and len(got) == len(want)
     table = state.cumulative_state(deltas, ["item_id"], ["n"])
-    probes = spark.createDataFrame([(i, t) for i in (1, 2) for t in range(5)], "item_id long, state_step long")
-    got = {(r.item_id, r.state_step): r.n for r in state.versioned_lookup(probes, table, ["item_id"], ["n"]).collect()}
-    assert got == {(1, 1): 5, (1, 2): 5, (1, 3): 5, (1, 4): 7, (2, 3): 1, (2, 4): 1}
-
-
-def test_salted_paths_equal_broadcast(spark, monkeypatch):
+    seen = state.visible_rows(table, probes, ["item_id"], ["n"]).collect()
+    assert {(r.item_id, r.state_step): r.n for r in seen} == want and len(seen) == len(want)
+
+
+def test_asof_totals_keep_repeated_probes_and_clashing_names(spark):
+    rng = random.Random(4)
+    deltas = [(rng.randrange(4), rng.randrange(4), t, rng.randrange(9), rng.random()) for t in range(12) for _ in range(3)]
+    probes = [(rng.randrange(4), rng.randrange(4), rng.randrange(14), rng.randrange(3), "x") for _ in range(300)]
+    a = spark.createDataFrame(deltas, "a long, b long, step long, n long, w double")
+    a = a.groupBy("a", "b", "step").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    p = spark.createDataFrame(probes, "a int, b int, state_step long, pos int, step string")
+    got = state.asof_totals(p, a, ["a", "b"], ["n", "w"])
+    assert got.columns == ["a", "b", "state_step", "pos", "step", "n", "w"]
+    want = Counter()
+    for x in probes:
+        seen = [(n, w) for i, j, t, n, w in deltas if (i, j) == x[:2] and t < x[2]]
+        if seen:
+            want[x + (sum(n for n, _ in seen), round(sum(w for _, w in seen), 9))] += 1
+    assert Counter((r.a, r.b, r.state_step, r.pos, r.step, r.n, round(r.w, 9)) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_item_knn_scores_as_of_each_step(spark):
     sessions = random_sessions(40, 12, 9)
     df = flat(spark, sessions, [i // 10 for i in range(40)])
-    probes = df.select("user_id", "session_id", "pos", F.col("item_id").alias("active_item"),
-                       ((F.col("item_id") + 1) % 12).alias("item_id"), F.lit(3).cast("long").alias("state_step"))
-
-    def run():
-        return sorted(map(tuple, R.score_cooccurrence(R.cooccurrence_state(df), probes).collect()))
-    plain = run()
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(state, "BROADCAST_BYTES", 0)
-    assert run() == plain and plain
-
-
-def test_lookup_join_salted_left_keeps_every_row(spark):
+    probes = df.select("user_id", "session_id", "pos", F.col("item_id").alias("active_item"), ((F.col("item_id") + 1) % 12).alias("item_id"),
+                       (F.col("session_id") % 4).cast("long").alias("state_step"))
+    got = {(r.session_id, r.pos): r for r in R.score_item_knn(R.cooccurrence_state(df), R.support_state(df), probes).collect()}
+    for sid, items in enumerate(sessions):
+        past = [set(s) for i, s in enumerate(sessions) if i // 10 < sid % 4]
+        for pos, item in enumerate(items, 1):
+            other = (item + 1) % 12
+            n = sum(item in s and other in s for s in past)
+            assert ((sid, pos) in got) == bool(n)
+            if n:
+                sup = [sum(x in s for s in past) for x in (item, other)]
+                assert abs(got[(sid, pos)].score - n / ((sup[1] + 20) ** .75 * (sup[0] + 20) ** .25)) < 1e-9
+
+
+def test_lookup_join_keeps_every_row(spark):
     left = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a = joins.lookup_join(left, right, "k", limit=0, salt=8)
-    b = left.join(right, "k", "left")
-    assert sorted(map(str, a.select("k", "id", "v").collect())) == sorted(map(str, b.select("k", "id", "v").collect()))
+    got = joins.lookup_join(left, right, "k").select("k", "id", "v").collect()
+    want = [(1 if i % 3 == 0 else i, i) for i in range(300)]
+    assert sorted((r.k, r.id) for r in got) == sorted(want)
+    assert all(r.v == (2 * r.k if r.k < 50 else None) for r in got)
 
 
 def test_global_rank_is_dense_and_total(spark):
@@ -171,3 +197,56 @@ def test_negatives_are_stable_distinct_and_outside_the_session(spark):
         per_click[(sid, pos)].append(item)
     assert all(len(v) == len(set(v)) == 5 for v in per_click.values())
     assert len(per_click) == sum(map(len, sessions))
+
+
+def brute_sample(history, prefix, sample, multiplicity, first):
+    """Sampled candidate sessions of a prefix, with their places."""
+    cand = {s: sum(x in items for x in prefix) for s, items in history.items() if set(items) & set(prefix)}
+    out, left = {}, sample
+    for s in sorted(cand, key=first):
+        take = min(cand[s] if multiplicity else 1, left)
+        if take:
+            out[s] = take
+        left -= take
+    return out
+
+
+def test_candidate_sampling(spark):
+    import hashlib
+    sessions = random_sessions(60, 14, 21)
+    df = flat(spark, sessions, [i // 40 for i in range(60)]).withColumn("state_step", F.col("step"))
+    history = {i: s for i, s in enumerate(sessions) if i < 40}
+    buffered = R.buffer_items(df, R.session_buffer(df, df.filter("step = 1").select("state_step").distinct(), 100))
+    firsts = {"recent": lambda s: -s, "random": lambda s: hashlib.md5(f"7:{s}:u{s}".encode()).hexdigest()}
+    for sampling, first in firsts.items():
+        for multiplicity in (False, True):
+            got = defaultdict(dict)
+            for r in R.candidate_sessions(df.filter("step = 1"), buffered, 9, sampling, 7, multiplicity).collect():
+                got[(r.session_id, r.pos)][r.nbr_session] = r.copies
+            for sid in range(40, 60):
+                for pos in range(1, len(sessions[sid]) + 1):
+                    assert got[(sid, pos)] == brute_sample(history, sessions[sid][:pos], 9, multiplicity, first)
+
+
+def test_multiplicity_votes(spark):
+    df = flat(spark, [[1, 2, 3], [1, 5], [1, 2, 9]], [0, 0, 1]).withColumn("state_step", F.col("step"))
+    got = {(r.pos, r.item_id): r.score for r in R.score_session_knn(df, df.filter("step = 1"), decay="same", multiplicity=True).collect()}
+    # at place 2 session 0 shares two items and votes twice
+    assert abs(got[(2, 3)] - 2 * 2 / math.sqrt(6)) < 1e-9 and abs(got[(2, 5)] - 1 / 2) < 1e-9
+
+
+def test_item2vec_finds_planted_neighbours(spark):
+    """Items of one of ten topics appear together; nearest vectors are of the same topic, with several tasks."""
+    from newsloom.operators import learned
+    rng = random.Random(6)
+    rows = []
+    for _ in range(30_000):
+        topic = rng.randrange(10)
+        rows.append(([topic * 10 + x for x in rng.sample(range(10), 5)],))
+    items = spark.createDataFrame(rows, "items array<long>")
+    from newsloom.operators.content import skipgram_partitions
+    assert skipgram_partitions(items, "items") > 1
+    vectors = {r.item_id: r.vector for r in learned.train_item2vec(items, size=16).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    near = [max((i for i in vectors if i != k), key=lambda i: cos(vectors[k], vectors[i])) for k in vectors]
+    assert sum(n // 10 == k // 10 for k, n in zip(vectors, near)) >= 0.9 * len(vectors)
