@@ -109,12 +109,64 @@ def item_coverage(preds, labels, clicked, buffer, n, by=()):
 
 # ---- diversity ------------------------------------------------------------
 
-def list_pairs(preds, n, by=()):
-    """Pairs (i before j) of each list cut at n: at most n(n-1)/2 per click."""
-    lists = _cut(preds, n).select(*by, *CLICK, "rank", "item_id")
-    left = lists.withColumnsRenamed({"rank": "rank_i", "item_id": "item_i"})
-    right = lists.withColumnsRenamed({"rank": "rank_j", "item_id": "item_j"})
-    return left.join(right, [*by, *CLICK]).filter(F.col("rank_i") < F.col("rank_j"))
+def weighted_pairs(preds, labels, n, by=(), rel_neg=0.02, emb=None, catalog=None):
+    """Pairs of each labelled click's list cut at n, with the weight of their distance in each score.
+
+    A list is one row, and its pairs come from its own array: at most n(n-1)/2.
+    Every score but median and minimum is a weighted sum of the pair distances,
+    and the weights depend on places and label only.  Outer weights run over list
+    places before n; inner weights fall with the distance of j behind i, and all
+    places before i weigh 1.  Items without a vector are left out.
+    """
+    by = list(by)
+    rows = _cut(preds, n).select(*by, *CLICK, "rank", "item_id")
+    if emb is not None:
+        rows = rows.join(emb.select(F.col("article_id").alias("item_id")), "item_id", "left_semi")
+    if catalog is not None:
+        rows = lookup_join(rows, catalog.select(F.col("article_id").alias("item_id"), F.col("category_id").alias("cat")), "item_id")
+    else:
+        rows = rows.withColumn("cat", F.lit(None).cast("int"))
+    rows = rows.join(labels.select(*by, *CLICK, "label"), by + CLICK)
+    lists = rows.groupBy(*by, *CLICK).agg(
+        F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("rank", "item_id", "cat"))).alias("l"))
+    keys = [*by, *CLICK]
+    lists = lists.filter(F.size("l") > 1)
+    # each step's arrays are columns of the next, computed once
+    place = F.transform("l", lambda x: F.struct(
+        x["rank"].alias("r"), x["item_id"].alias("item"), x["cat"].alias("cat"),
+        F.when(x["rank"] < n, rank_discount(x["rank"])).alias("disc"),
+        F.when(x["item_id"] == F.col("label"), 1.0).otherwise(float(rel_neg)).alias("rel")))
+    lists = lists.select(*keys, F.explode(F.array(place)).alias("p"))
+
+    def near(i, j):
+        return 1.0 / F.log2(j["r"] - i["r"] + 1)
+
+    def inner(pick):
+        return F.transform("p", lambda x, a: F.aggregate(
+            F.filter("p", lambda y: y["r"] > x["r"]), F.lit(0.0), lambda total, y: total + pick(x, y)))
+
+    def discounts(upto):
+        return F.aggregate(F.slice("p", 1, upto), F.lit(0.0), lambda total, x: total + F.coalesce(x["disc"], F.lit(0.0)))
+    lists = lists.select(*keys, "p", F.inline(F.array(F.struct(
+        inner(near).alias("w"), inner(lambda x, y: near(x, y) * y["rel"]).alias("v"),
+        discounts(F.size("p")).alias("all_"), discounts(F.size("p") - 1).alias("some")))))
+    pairs = lists.select(*keys, "p", "w", "v", "all_", "some", F.posexplode("p").alias("a", "i"))
+    pairs = pairs.select("*", F.explode(F.transform(F.filter("p", lambda y: y["r"] > F.col("i.r")), lambda y: y)).alias("j"))
+    place_of = F.col("a") + 1
+    behind = F.array_position(F.transform("p", lambda y: y["r"]), F.col("j.r"))
+    pairs = pairs.withColumn("b", behind.cast("int"))
+    disc_i, disc_j = F.coalesce("i.disc", F.lit(0.0)), F.coalesce("j.disc", F.lit(0.0))
+    w = near(F.col("i"), F.col("j"))
+    # all places before a place weigh 1 each
+    total_i, total_j = F.element_at("w", place_of) + F.col("a"), F.element_at("w", F.col("b")) + F.col("b") - 1
+    after = F.size("p") - place_of
+    return pairs.select(
+        *keys, F.col("i.item").alias("item_i"), F.col("j.item").alias("item_j"),
+        F.when(F.col("i.cat") == F.col("j.cat"), 0.0).otherwise(1.0).alias("cat_dist"),
+        (disc_i / after / F.col("some")).alias("k_mean"),
+        ((disc_i * w / total_i + disc_j / total_j) / F.col("all_")).alias("k_all"),
+        (disc_i * F.col("i.rel") * w * F.col("j.rel") / F.element_at("v", place_of) / F.col("some")).alias("k_rel"),
+        (disc_i * F.col("i.rel") / after / F.col("some")).alias("k_mean_rel"))
 
 
 def pair_distances(pairs, emb):
@@ -126,66 +178,19 @@ def pair_distances(pairs, emb):
     return lookup_join(keyed, dist, ["_a", "_b"], "inner").drop("_a", "_b")
 
 
-def pair_categories(pairs, catalog, id_col="article_id", cat_col="category_id"):
-    """Attach 1.0 for items of different categories, else 0.0."""
-    cats = catalog.select(F.col(id_col).alias("item_i"), F.col(cat_col).alias("_ci"))
-    out = lookup_join(pairs, cats, "item_i")
-    out = lookup_join(out, cats.withColumnsRenamed({"item_i": "item_j", "_ci": "_cj"}), "item_j")
-    return out.withColumn("cat_dist", F.when(F.col("_ci") == F.col("_cj"), 0.0).otherwise(1.0)).drop("_ci", "_cj")
-
-
-def click_diversity(pairs, labels, n, by=(), rel_neg=0.02):
-    """One row per labelled click with every intra-list diversity score but the median.
-
-    ``pairs`` carry rank/item i and j, ``dist`` and optionally ``cat_dist``.
-    Outer sums run over list places before n; inner weights fall with the
-    distance of j behind i, and all places before i weigh 1.
-    """
-    by = list(by)
-    if "cat_dist" not in pairs.columns:
-        pairs = pairs.withColumn("cat_dist", F.lit(None).cast("double"))
-    rows = pairs.join(labels.select(*by, *CLICK, "label"), by + CLICK)
-    rel_i = F.when(F.col("item_i") == F.col("label"), 1.0).otherwise(float(rel_neg))
-    rel_j = F.when(F.col("item_j") == F.col("label"), 1.0).otherwise(float(rel_neg))
-    near = 1.0 / F.log2(F.col("rank_j") - F.col("rank_i") + 1)
-    sides = F.array(
-        F.struct(F.col("rank_i").alias("r"), rel_i.alias("rel"), near.alias("w"), F.lit(True).alias("after"),
-                 rel_j.alias("rel_other")),
-        F.struct(F.col("rank_j").alias("r"), rel_j.alias("rel"), F.lit(1.0).alias("w"), F.lit(False).alias("after"),
-                 rel_i.alias("rel_other")))
-    both = rows.select(*by, *CLICK, "dist", "cat_dist", F.inline(sides))
-    d, w, c = F.col("dist"), F.col("w"), F.col("cat_dist")
-    later = F.col("after")
-    per_place = both.groupBy(*by, *CLICK, "r").agg(
-        F.max("rel").alias("rel"),
-        F.sum(F.when(later, d)).alias("sum_after"),
-        F.sum(later.cast("int")).alias("n_after"),
-        F.min(F.when(later, d)).alias("min_after"),
-        (F.sum(d * w) / F.sum(w)).alias("inner_all"),
-        (F.sum(c * w) / F.sum(w)).alias("inner_cat"),
-        (F.sum(F.when(later, d * w * F.col("rel_other")))
-         / F.sum(F.when(later, w * F.col("rel_other")))).alias("inner_rel"))
-    disc = F.when(F.col("r") < n, rank_discount("r"))
-    mean_after = F.col("sum_after") / F.col("n_after")
-    dd = F.when(F.col("n_after") > 0, disc)
-    return per_place.groupBy(*by, *CLICK).agg(
-        (F.sum("sum_after") / F.sum("n_after")).alias("ild_avg"),
-        F.min("min_after").alias("ild_min"),
-        (F.sum(mean_after * dd) / F.sum(dd)).alias("eild_r_v2"),
-        (F.sum(F.col("inner_all") * disc) / F.sum(disc)).alias("eild_r"),
-        (F.sum(F.col("inner_rel") * dd * F.col("rel")) / F.sum(dd)).alias("eild_rr"),
-        (F.sum(mean_after * dd * F.col("rel")) / F.sum(dd)).alias("eild_rr_v2"),
-        (F.sum(F.col("inner_cat") * disc) / F.sum(disc)).alias("category_eild"))
-
-
-def click_median(pairs, labels, by=()):
-    """Median pair distance of each labelled click's list (at most n(n-1)/2 values)."""
-    by = list(by)
-    rows = pairs.join(labels.select(*by, *CLICK), by + CLICK, "left_semi")
-    sorted_rows = rows.groupBy(*by, *CLICK).agg(F.sort_array(F.collect_list("dist")).alias("_d"))
+def click_diversity(pairs, by=()):
+    """One row per labelled click with every intra-list diversity score."""
+    scores = pairs.groupBy(*by, *CLICK).agg(
+        F.avg("dist").alias("ild_avg"), F.min("dist").alias("ild_min"),
+        F.sort_array(F.collect_list("dist")).alias("_d"),  # at most n(n-1)/2 values
+        F.sum(F.col("dist") * F.col("k_mean")).alias("eild_r_v2"),
+        F.sum(F.col("dist") * F.col("k_all")).alias("eild_r"),
+        F.sum(F.col("dist") * F.col("k_rel")).alias("eild_rr"),
+        F.sum(F.col("dist") * F.col("k_mean_rel")).alias("eild_rr_v2"),
+        F.sum(F.col("cat_dist") * F.col("k_all")).alias("category_eild"))
     m = F.size("_d")
     lower, upper = (F.get("_d", F.floor(x).cast("int")) for x in ((m - 1) / 2, m / 2))
-    return sorted_rows.select(*by, *CLICK, ((lower + upper) / 2).alias("ild_median"))
+    return scores.withColumn("ild_median", (lower + upper) / 2).drop("_d")
 
 
 DIVERSITY = ["ild_avg", "ild_median", "ild_min", "eild_r_v2", "eild_r", "eild_rr",
@@ -193,24 +198,16 @@ DIVERSITY = ["ild_avg", "ild_median", "ild_min", "eild_r_v2", "eild_r", "eild_rr
 
 
 def diversity(preds, labels, emb, n, by=(), catalog=None, rel_neg=0.02):
-    """Mean of every diversity score per group."""
-    pairs = pair_distances(list_pairs(preds, n, by), emb)
-    if catalog is not None:
-        pairs = pair_categories(pairs, catalog)
-    means = [m for m in DIVERSITY if m != "ild_median"]
-    scores = click_diversity(pairs, labels, n, by, rel_neg).groupBy(*by).agg(*[F.avg(m).alias(m) for m in means])
-    median = click_median(pairs, labels, by).groupBy(*by).agg(F.avg("ild_median").alias("ild_median"))
-    # One row per group on both sides.
-    return scores.join(median, list(by)) if by else scores.withColumn(
-        "ild_median", median.select("ild_median").scalar())
+    """Mean of every diversity score per group; the category score is null without a catalogue."""
+    pairs = pair_distances(weighted_pairs(preds, labels, n, by, rel_neg, emb, catalog), emb)
+    means = click_diversity(pairs, by).groupBy(*by).agg(*[F.avg(m).alias(m) for m in DIVERSITY])
+    return means if catalog is not None else means.withColumn("category_eild", F.lit(None).cast("double"))
 
 
 def _one(metric):
     def single(preds, labels, emb, n, by=(), rel_neg=0.02):
-        pairs = pair_distances(list_pairs(preds, n, by), emb)
-        scores = (click_median(pairs, labels, by) if metric == "ild_median"
-                  else click_diversity(pairs, labels, n, by, rel_neg))
-        return scores.groupBy(*by).agg(F.avg(metric).alias(metric))
+        pairs = pair_distances(weighted_pairs(preds, labels, n, by, rel_neg, emb), emb)
+        return click_diversity(pairs, by).groupBy(*by).agg(F.avg(metric).alias(metric))
     single.__name__ = metric
     single.__doc__ = f"Mean {metric} of the lists cut at n."
     return single
@@ -223,8 +220,8 @@ eild_rr, eild_rr_v2 = _one("eild_rr"), _one("eild_rr_v2")
 
 def category_eild(preds, labels, catalog, n, by=()):
     """EILD-R with a 0/1 category distance (no vectors needed)."""
-    pairs = pair_categories(list_pairs(preds, n, by), catalog).withColumn("dist", F.col("cat_dist"))
-    return (click_diversity(pairs, labels, n, by).groupBy(*by)
+    pairs = weighted_pairs(preds, labels, n, by, catalog=catalog).withColumn("dist", F.col("cat_dist"))
+    return (click_diversity(pairs, by).groupBy(*by)
             .agg(F.avg("category_eild").alias("category_eild")))
 
 
