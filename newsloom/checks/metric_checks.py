@@ -107,11 +107,11 @@ def j6(spark, d):
 
 @check("j9_item_coverage", sql("""
 SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM (
-  SELECT item_id FROM tr UNION SELECT label FROM labels_ UNION SELECT article_id FROM clicks WHERE event_id < 500)), 6) AS item_coverage
+  SELECT item_id FROM tr UNION SELECT label FROM labels_ UNION SELECT article_id FROM clicks)), 6) AS item_coverage
 FROM rows_ WHERE rank <= 3"""))
 def j9(spark, d):
     preds, labels = inputs(spark, d)
-    buffer = samples.clicks(spark, d).filter("event_id < 500").select(F.col("article_id").alias("item_id"))
+    buffer = samples.clicks(spark, d).select(F.col("article_id").alias("item_id"))
     return rounded(M.item_coverage(preds, labels, S.truncate_sessions(samples.sessions(spark, d)), buffer, 3))
 
 

@@ -80,11 +80,9 @@ def feed_sessions(spark, d, job):
 SELECT antecedent, consequent, round(score, 6) AS score, pairs, n FROM rules
 JOIN cooc ON item_a = antecedent AND item_b = consequent"""))
 def l4(spark, d):
-    out = feed_sessions(spark, d, J.maintain_rules)
-    packed = fresh_path(spark, "compacted")
-    J.compact(spark, f"{out}/rules", packed, 1)
-    rules = J.read_rules(spark, packed)
-    cooc = J.read_cooccurrence(spark, f"{out}/cooccurrence")
+    out = feed_sessions(spark, d, lambda stream, out, state: J.maintain_rules(stream, out, state, every=2))
+    rules = J.read_changes(spark, f"{out}/rules", J.RULE, every=2)
+    cooc = J.read_changes(spark, f"{out}/cooccurrence", J.PAIR, every=2)
     both = rules.join(cooc, (F.col("item_a") == F.col("antecedent")) & (F.col("item_b") == F.col("consequent")))
     return both.select("antecedent", "consequent", F.round("score", 6).alias("score"), "pairs", "n")
 
@@ -93,12 +91,24 @@ def l4(spark, d):
 SELECT article_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts_ms DESC, event_id DESC) AS event_ids FROM (
   SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY ts_ms DESC, event_id DESC) AS r FROM clicks) WHERE r <= 10 GROUP BY article_id"""))
 def l5(spark, d):
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"].cast("string"))
+    lists = last_lists(spark, d, 10).groupBy("key").agg(F.array_join(ids, ",").alias("event_ids"))
+    return lists.withColumnRenamed("key", "article_id")
+
+
+def last_lists(spark, d, n, key="article_id"):
     path = fresh_path(spark, "last-n")
-    J.run_batches(J.stream_last_n(click_stream(spark, d), 10, "60 days"),
+    J.run_batches(J.stream_last_n(click_stream(spark, d), n, "60 days", key),
                   lambda batch, i: J.write_delta(batch, path, i), fresh_path(spark, "last-n-state"), "update")
-    newest = F.max_by("event_ids", "batch")
-    rows = spark.read.parquet(path).groupBy("article_id").agg(newest.alias("ids"))
-    return rows.select("article_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("event_ids"))
+    return J.last_n(spark.read.parquet(path), n)
+
+
+@check("l5_stream_last_n_global", with_sql([CLICKS], """
+SELECT event_id, ts_ms, rank FROM (
+  SELECT event_id, ts_ms, row_number() OVER (ORDER BY ts_ms DESC, event_id DESC) AS rank FROM clicks) WHERE rank <= 100"""))
+def l5_global(spark, d):
+    """The newest 100 clicks of all: one list for every article, kept in salted states."""
+    return last_lists(spark, d, 100, None).select("event_id", "ts_ms", F.col("rank").cast("long").alias("rank"))
 
 
 @check("l6_stream_recommend", with_sql(FLAT6 + [PAIRS, RULES], """
@@ -112,16 +122,70 @@ def l6(spark, d):
     return live.withColumn("rank", F.col("rank").cast("long"))
 
 
-@check("l7_stream_evaluate", with_sql(FLAT6, """
-, parts AS (SELECT *, CAST(session_hour // 240 AS INTEGER) AS part FROM tr),
+#: Sessions by feed part, and what the parts before each later part show of them.
+PARTED = """parts AS (SELECT *, least(CAST(session_hour // 240 AS INTEGER), 2) AS part FROM tr),
+later AS (SELECT unnest([1, 2]) AS part),
 pr AS (SELECT a.part, a.item_id AS antecedent, b.item_id AS consequent, sum(1.0 / CAST(b.pos - a.pos AS DOUBLE)) AS s
-  FROM parts a JOIN parts b ON a.user_id = b.user_id AND a.session_id = b.session_id AND b.pos > a.pos AND b.pos - a.pos <= 10 GROUP BY ALL),
+  FROM parts a JOIN parts b ON a.user_id = b.user_id AND a.session_id = b.session_id AND b.pos > a.pos AND b.pos - a.pos <= 10 GROUP BY ALL)"""
+
+
+@check("l6_live_lists", with_sql(FLAT6, f"""
+, {PARTED},
+cat AS (SELECT vec_id AS article_id, CAST(label AS INTEGER) AS category_id FROM embeddings WHERE label <> 0),
 rl AS (SELECT p.part, antecedent, consequent, row_number() OVER (PARTITION BY p.part, antecedent ORDER BY round(sum(s), 9) DESC, consequent) AS rank
-  FROM (SELECT unnest([1, 2]) AS part) p JOIN pr ON pr.part < p.part GROUP BY p.part, antecedent, consequent),
+  FROM later p JOIN pr ON pr.part < p.part WHERE antecedent IN (SELECT article_id FROM cat) AND consequent IN (SELECT article_id FROM cat)
+  GROUP BY p.part, antecedent, consequent),
+pop AS (SELECT p.part, item_id, row_number() OVER (PARTITION BY p.part ORDER BY count(*) DESC, item_id) AS rank
+  FROM later p JOIN parts x ON x.part < p.part WHERE item_id IN (SELECT article_id FROM cat) GROUP BY p.part, item_id)
+SELECT user_id, session_id, pos, c.item_id AS article_id, fallback, rank, rec_item, category_id FROM (
+  SELECT c.part, c.user_id, c.session_id, c.pos, c.item_id, false AS fallback, r.rank, r.consequent AS rec_item
+  FROM parts c JOIN rl r ON r.part = c.part AND r.antecedent = c.item_id WHERE r.rank <= 3
+  UNION ALL SELECT c.part, c.user_id, c.session_id, c.pos, c.item_id, true, p.rank, p.item_id FROM parts c JOIN pop p ON p.part = c.part
+  WHERE p.rank <= 3 AND NOT EXISTS (SELECT 1 FROM rl WHERE rl.part = c.part AND rl.antecedent = c.item_id)) c
+JOIN cat ON cat.article_id = rec_item"""))
+def l6_live(spark, d):
+    """Clicks of each part get lists from the rules of the earlier parts, which change between batches."""
+    catalog = samples.table(spark, d, "embeddings").filter("label <> 0").select(
+        F.col("vec_id").alias("article_id"), F.col("label").cast("int").alias("category_id"))
+    lists = fresh_path(spark, "live-lists")
+
+    def job(stream, out, state):
+        clicks = J.flatten_sessions(stream).select(*KEY, "pos", F.col("item_id").alias("article_id"))
+        J.live_lists(clicks, out, lists, f"{state}-live", catalog, 3, ["category_id"])
+        J.maintain_rules(stream, out, state)
+    feed_sessions(spark, d, job)
+    rows = spark.read.parquet(lists).drop("batch")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("pos", "rank")})
+
+
+@check("l7_stream_evaluate", with_sql(FLAT6, f"""
+, {PARTED},
+co AS (SELECT a.part, a.item_id AS a, b.item_id AS b, count(*) AS n FROM parts a JOIN parts b
+  ON a.user_id = b.user_id AND a.session_id = b.session_id AND a.pos <> b.pos GROUP BY ALL),
+sup AS (SELECT p.part, item_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY p.part) AS total, count(*) OVER (PARTITION BY p.part) AS items
+  FROM later p JOIN parts x ON x.part < p.part GROUP BY p.part, item_id),
+cs AS (SELECT p.part, a, b, sum(n) AS n FROM later p JOIN co ON co.part < p.part GROUP BY p.part, a, b),
+lists AS (
+  SELECT 'sr' AS recommender, p.part, antecedent AS item, consequent AS rec, row_number() OVER (PARTITION BY p.part, antecedent ORDER BY round(sum(s), 9) DESC, consequent) AS rank
+  FROM later p JOIN pr ON pr.part < p.part GROUP BY p.part, antecedent, consequent
+  UNION ALL SELECT 'coocurrent', part, a, b, row_number() OVER (PARTITION BY part, a ORDER BY n DESC, b) FROM cs
+  UNION ALL SELECT 'item_knn', part, a, b, row_number() OVER (PARTITION BY part, a ORDER BY round(score, 9) DESC, b) FROM (
+    SELECT cs.part, a, b, cs.n / (power(y.n + 20.0, 0.75) * power(x.n + 20.0, 0.25)) AS score
+    FROM cs JOIN sup x ON x.part = cs.part AND x.item_id = a JOIN sup y ON y.part = cs.part AND y.item_id = b)),
 lb AS (SELECT * FROM (SELECT part, user_id, session_id, pos, item_id, lead(item_id) OVER (PARTITION BY user_id, session_id ORDER BY pos) AS label FROM parts)
-  WHERE label IS NOT NULL AND part BETWEEN 1 AND 2)
-SELECT lb.part AS batch, count(*) AS clicks, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1 END), 6) AS hitrate, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr
-FROM lb LEFT JOIN rl ON rl.part = lb.part AND antecedent = item_id AND consequent = label AND rank <= 5 GROUP BY lb.part"""))
+  WHERE label IS NOT NULL AND part > 0),
+shown AS (
+  SELECT recommender, lb.part, user_id, session_id, pos, label, rec, rank FROM lb JOIN lists l ON l.part = lb.part AND l.item = lb.item_id WHERE rank <= 5
+  UNION ALL SELECT 'popular', lb.part, user_id, session_id, pos, label, rec, rank FROM lb JOIN (
+    SELECT part, item_id AS rec, row_number() OVER (PARTITION BY part ORDER BY n DESC, item_id) AS rank FROM sup) p ON p.part = lb.part WHERE rank <= 5),
+names AS (SELECT unnest(['sr', 'coocurrent', 'item_knn', 'popular']) AS recommender),
+totals AS (SELECT recommender, part, count(*) AS clicks FROM lb, names GROUP BY ALL)
+SELECT t.part AS batch, t.recommender, t.clicks, round(sum(CASE WHEN rec = label THEN 1.0 ELSE 0 END) / t.clicks, 6) AS hitrate,
+  round(sum(CASE WHEN rec = label THEN 1.0 / rank ELSE 0 END) / t.clicks, 6) AS mrr,
+  round(sum(CASE WHEN rec = label THEN 1.0 / log2(rank + 1) ELSE 0 END) / t.clicks, 6) AS ndcg,
+  round(avg(-log2(CAST(n AS DOUBLE) / total)), 6) AS novelty, round(CAST(count(DISTINCT rec) AS DOUBLE) / any_value(items), 6) AS coverage
+FROM totals t JOIN shown s ON s.part = t.part AND s.recommender = t.recommender JOIN sup ON sup.part = t.part AND sup.item_id = rec
+GROUP BY t.part, t.recommender, t.clicks"""))
 def l7(spark, d):
-    out = feed_sessions(spark, d, J.stream_evaluate)
+    out = feed_sessions(spark, d, lambda stream, out, state: J.stream_evaluate(stream, out, state, every=2))
     return rounded(spark.read.parquet(f"{out}/metrics"))
