@@ -37,6 +37,8 @@ TOKEN = "A-Za-z0-9_.%+@#/-"
 CANDIDATE = (rf"(?<![{TOKEN}])(?:[+(]{{0,2}}[0-9](?:[\x20()./-]{{0,2}}[0-9]){{5,}}+(?![A-Za-z0-9_@])"
              rf"|(?=[A-Za-z_.%+#/-]*+[0-9@])[{TOKEN}]{{6,}}+)")
 SCREEN = r"[0-9@]"
+#: Matches of one text whose places are summed in one array.
+RUN = 1000
 CONTEXT = 64
 SUPPORT = 5
 CONFIDENT = 0.8
@@ -51,19 +53,25 @@ def _mentions(df, name, pattern, screen):
     df = df.withColumn("m", F.when(F.col("text").rlike(screen), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     df = df.withColumn("g", F.when(F.size("m") > 0, F.split("text", pattern, -1)))
     steps = F.sequence(F.lit(0), F.size("m") - 1)
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda s, k: F.array_append(
-        s, F.element_at(s, -1) + F.length(F.col("g")[k]) + F.length(F.col("m")[k])))
-    df = df.withColumn("e", F.when(F.size("m") > 0, ends))
+    df = df.withColumn("n", F.when(F.size("m") > 0, F.transform(steps, lambda k: F.length(F.col("g")[k]) + F.length(F.col("m")[k]))))
+
+    def summed(lengths):
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    # running sums by parts, since an array that grows is copied at every step: n matches cost n * RUN, not n * n
+    parts = F.sequence(F.lit(0), F.floor((F.size("n") - 1) / RUN).cast("int"))
+    df = df.withColumn("e", F.when(F.size("m") > 0, F.transform(parts, lambda p: summed(F.slice("n", p * RUN + 1, RUN)))))
+    df = df.withColumn("o", F.when(F.size("m") > 0, summed(F.transform("e", lambda x: F.element_at(x, -1)))))
 
     def one(k):
         text = F.col("m")[k]
         before = F.concat(F.when(k > 0, F.get("m", k - 1)).otherwise(""), F.col("g")[k])
-        end = F.col("e")[k + 1]
+        part = F.floor(k / RUN).cast("int")
+        end = F.col("o")[part] + F.col("e")[part][k - part * RUN + 1]
         return F.struct((end - F.length(text)).alias("start"), end.alias("end"), text.alias("text"),
                         F.right(before, F.lit(CONTEXT)).alias("left"), F.left(F.col("g")[k + 1], F.lit(CONTEXT)).alias("right"))
 
     none = F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>")
-    return df.withColumn(name, F.when(F.size("m") > 0, F.transform(steps, one)).otherwise(none)).drop("m", "g", "e")
+    return df.withColumn(name, F.when(F.size("m") > 0, F.transform(steps, one)).otherwise(none)).drop("m", "g", "n", "e", "o")
 
 
 def _digits(text):

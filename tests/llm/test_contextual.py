@@ -69,6 +69,14 @@ def test_base_spans_of_odd_texts(spark):
     assert {r.doc_id: r.spans for r in got if r.doc_id is not None} == {k: listed(base_spans(t)) for k, t in enumerate(texts)}
 
 
+def test_many_matches_in_one_text(spark):
+    """Places of tens of thousands of candidates and addresses in one text."""
+    text = " ".join(f"w{k:06d}" for k in range(30_000)) + " " + " ".join(f"n{k}@b.example" for k in range(2_500))
+    row = personal.base_mentions(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(m.start, m.end) for m in row.email] == [m.span() for m in re.finditer(KINDS["email"], text)]
+    assert [(m.start, m.end) for m in row.candidate] == [(8 * k, 8 * k + 7) for k in range(30_000)]
+
+
 def test_patterns_find_unseen_identifiers(spark):
     texts = [f"Hello all. You can reach my phone at +1 (555) {200 + k}-{1000 + k * 7} any time. Item {k} has the order 20{k:02d}{k * 37:04d} in stock."
              for k in range(40)]
