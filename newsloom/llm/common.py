@@ -49,6 +49,18 @@ def staged(df, name):
     return materialize(df, name)
 
 
+def unused(df, *names):
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded(df, rows=500_000):
     """A written table, marked for broadcast if it has at most ``rows`` rows; the join shuffles both sides otherwise."""
     return F.broadcast(df) if df.count() <= rows else df

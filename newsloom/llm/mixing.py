@@ -172,7 +172,9 @@ def mixed_documents(docs, weights=WEIGHTS, share=1.5, cap=2.0, block=BLOCK, shar
     # rows that repeat id, source and size are told apart by their rank
     spans = spans.withColumn("_nth", F.row_number().over(nth)).select(
         F.col("doc_id").alias("_id"), F.col("p_source").alias("_source"), F.col("size").alias("_n"), "_nth", "_passes")
-    rows = docs.withColumn("_size", F.coalesce(word_count(F.col("text")), F.lit(0)).cast("long"))
+    # the user's columns go along in one struct: no name of theirs meets one of ours
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"),
+                       F.coalesce(word_count(F.col("text")), F.lit(0)).cast("long").alias("_size"))
     own = W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
     rows = rows.withColumn("_rank", F.row_number().over(own))
     on = (rows["doc_id"].eqNullSafe(spans["_id"]) & rows["source"].eqNullSafe(spans["_source"])
@@ -184,9 +186,10 @@ def mixed_documents(docs, weights=WEIGHTS, share=1.5, cap=2.0, block=BLOCK, shar
         F.col("_words"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
     out = out.withColumn("_whole", whole).withColumn("_words", F.when(~F.col("_whole"), words))
     out = out.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark, folder):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, staged, table
+from newsloom.llm.common import ship, staged, table, unused
 
 SEED = 42
 CHUNK = 4096
@@ -269,8 +269,9 @@ def one_of_each(docs, size=5):
     from newsloom.llm.near_sets import set_groups  # it builds on this module
 
     groups = set_groups(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), size)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name, = unused(docs, "gone")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
     alone = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return alone.unionByName(kept.filter("doc_id IS NULL"))
 
