@@ -16,6 +16,8 @@ Null texts stay null, blank lines stay. Rows equal in id and text are one docume
 first. An empty table gives no row. Other columns pass through unchanged; n_chars, if there, follows a new text.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import BLANK, bounded, staged, table, unused
@@ -55,7 +57,9 @@ def template_lines(docs, least=LEAST, lead=LEAD):
     """One row per line of at least ``least`` words: doc, key, nth, number of words n, leaf, the raw line's hash, the line, and its text's flag ``fields``."""
     text = F.col("text")
     lines = docs.select(F.col("doc_id").alias("doc"), "text")
-    for name, value in (("key", F.xxhash64("text")), ("odd", text.rlike(ODD)), ("fields", text.rlike(FIELD))):  # once a text, not a line
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    # once a text, not a line; every field has one of these letters
+    for name, value in (("key", F.xxhash64("text")), ("odd", odd), ("fields", text.rlike("[0-9@/]"))):
         lines = once(lines, name, value)
     lines = lines.select("doc", "key", "odd", "fields", F.posexplode(F.split("text", "\n")).alias("nth", "as_is"))
     lines = once(lines, "line", plain(F.col("as_is"), F.col("odd"))).drop("as_is", "odd")
