@@ -3,8 +3,8 @@
 Base patterns: credentials assigned to a name, access key ids, hexadecimal strings. Beside them every run of 20 or more letters of the
 base64 alphabet is a candidate. Its encoding is inferred from its letters: the smallest of eight alphabets that holds them. Two tests give
 the p value that is controlled, each by a bound that holds for prose whatever the length. The first weighs how likely the string is if
-drawn at random from its encoding's alphabet against its neighbours' likelihood in the corpus (letters without case, counted on at
-most ``SAMPLE`` documents, candidates left out): prose reaches a ratio of r with a chance of 1/r at most, times eight for the
+drawn at random from its encoding's alphabet against its neighbours' likelihood in the corpus (letters without case, counted in
+all documents, candidates left out): prose reaches a ratio of r with a chance of 1/r at most, times eight for the
 choice of the alphabet. The second is how unlikely the run's mix of digits, upper and lower case letters would be if one kind
 filled it. The smaller of the two counts, times two.
 
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import staged, table
+from newsloom.llm.common import BLANK, staged, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -44,9 +44,8 @@ ALPHABETS = {
 }
 #: Cells of the histogram of p values: -log10 p in steps of 1/10, up to 30.
 STEP, CELLS = 10, 300
-#: Letters of the prose model, after folding case; documents it is counted on; weight of the single letter in a pair.
+#: Letters of the prose model, after folding case; weight of the single letter in a pair.
 PROSE = "abcdefghijklmnopqrstuvwxyz0123456789+/"
-SAMPLE = 2000
 WEIGHT = len(PROSE)
 
 
@@ -86,13 +85,16 @@ def base_spans(docs):
 
 
 def prose_model(docs):
-    """Logarithms of the chance of a letter after another in the corpus, at len(PROSE) * first + second."""
-    rate = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0)
+    """Logarithms of the chance of a letter after another in the corpus, at len(PROSE) * first + second.
+
+    All texts count. Pairs lie within words, so words are counted first and each different one is cut up once.
+    """
     text = F.translate(F.lower(F.regexp_replace("text", CANDIDATE, " ")), "-_", "+/")
-    some = some.select(F.split(text, "").alias("x")).select(F.explode(F.arrays_zip(
-        F.col("x").alias("a"), F.slice("x", 2, 1 << 30).alias("b"))).alias("p"))
-    counts = some.groupBy("p.a", "p.b").count().filter(F.col("a").isin(*PROSE) & F.col("b").isin(*PROSE)).collect()
+    words = docs.select(F.explode(F.split(text, BLANK + "+")).alias("word")).groupBy("word").count()
+    letters = words.select("count", F.split("word", "").alias("x"))
+    pairs = letters.select("count", F.explode(F.arrays_zip(F.col("x").alias("a"), F.slice("x", 2, 1 << 30).alias("b"))).alias("p"))
+    counts = pairs.groupBy("p.a", "p.b").agg(F.sum("count").alias("count")).filter(
+        F.col("a").isin(*PROSE) & F.col("b").isin(*PROSE)).collect()  # a row per pair of letters
     pairs = {(r["a"], r["b"]): r["count"] for r in counts}
     first = {a: sum(pairs.get((a, b), 0) for b in PROSE) for a in PROSE}
     second = {b: sum(pairs.get((a, b), 0) for a in PROSE) for b in PROSE}
