@@ -25,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, staged, table
+from newsloom.llm.common import ship, table
 
 SIZE = 20
 #: Cells of one sketch row, at most: their bits take a 64 MB table per row.
@@ -108,6 +108,21 @@ def _cells(one, two, row, bits):
     return ((one if row == 0 else two + U64(row - 1) * one) >> U64(64 - bits)).astype(np.int64)
 
 
+def gaps_of(places):
+    """Rising places of a block as bytes: each gap in 255s and a rest below 255."""
+    gaps = np.diff(places, prepend=0)
+    ends = np.cumsum(gaps // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gaps % 255
+    return out.tobytes()
+
+
+def places_of(blob):
+    """The places of ``gaps_of``: up to each rest, the bytes add up to one."""
+    raw = np.frombuffer(blob, np.uint8)
+    return np.cumsum(raw, dtype=np.int64)[raw != 255]
+
+
 def sketch_batches(size, bits, depth):
     """mapInArrow function: a task's sketch in blocks, with the places hit once and those hit more often."""
     def run(batches):
@@ -115,13 +130,13 @@ def sketch_batches(size, bits, depth):
             for row in range(depth):
                 cells, times = np.unique(_cells(one, two, row, bits), return_counts=True)
                 cuts = np.flatnonzero(np.diff(cells >> 16)) + 1
-                places = (cells & (BLOCK - 1)).astype("<u2")
+                places = cells & (BLOCK - 1)
                 blocks, hit, more = [], [], []
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
                     blocks.append(row << 32 | int(cells[a] >> 16))
                     again = times[a:b] > 1
-                    hit.append(places[a:b][~again].tobytes())
-                    more.append(places[a:b][again].tobytes())
+                    hit.append(gaps_of(places[a:b][~again]))
+                    more.append(gaps_of(places[a:b][again]))
                 for k in range(0, len(blocks), 1024):
                     yield pa.record_batch([pa.array(x[k:k + 1024], t) for x, t in
                                            ((blocks, pa.int64()), (hit, pa.binary()), (more, pa.binary()))],
@@ -132,9 +147,9 @@ def sketch_batches(size, bits, depth):
 def _merge(t: pa.Table) -> pa.Table:
     times = np.zeros(BLOCK, np.int64)
     for blob in t.column("hit").to_pylist():
-        times[np.frombuffer(blob, "<u2")] += 1  # a task names each place once
+        times[places_of(blob)] += 1  # a task names each place once
     for blob in t.column("more").to_pylist():
-        times[np.frombuffer(blob, "<u2")] += 2
+        times[places_of(blob)] += 2
     packed = zstandard.compress(np.packbits(times > 1, bitorder="little").tobytes(), 1)
     return pa.table({"block": t.column("block")[:1], "bits": pa.array([packed], pa.binary())})
 
@@ -206,8 +221,10 @@ def _unpack(t, name, kind):
 
 
 def exact_group(groups):
-    """applyInArrow function over a hash range: the repeats, by document group."""
+    """applyInArrow function over a hash range: the repeats, by document group. Repeats found inside a task pass through."""
     def run(t: pa.Table) -> pa.Table:
+        if t.column("kind")[0].as_py() == 1:
+            return t.select(["key", "ids", "tags", "at"]).rename_columns(["group", "ids", "tags", "at"])
         one, two = _unpack(t, "one", U64), _unpack(t, "two", np.uint32)
         ids, tags, at = _unpack(t, "ids", np.int64), _unpack(t, "tags", np.uint32), _unpack(t, "at", np.uint32)
         order, _, repeat = _earliest(one, two, ids, tags, at)
@@ -268,10 +285,10 @@ def dedup(docs, size=SIZE, max_cells=MAX_CELLS, depth=DEPTH, digest=False):
     groups = max(256, volume // GROUP_BYTES)
     ranges = max(256, expected >> 20)
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, bits, depth))
-    found = staged(docs.mapInArrow(candidate_batches(size, bits, sketch, ranges, groups),
-                                   "kind int, key long, one binary, two binary, ids binary, tags binary, at binary"), "substring")
-    exact = found.filter("kind = 0").groupBy("key").applyInArrow(exact_group(groups), "group long, ids binary, tags binary, at binary")
-    repeats = exact.union(found.filter("kind = 1").select(F.col("key").alias("group"), "ids", "tags", "at"))
+    found = docs.mapInArrow(candidate_batches(size, bits, sketch, ranges, groups),
+                            "kind int, key long, one binary, two binary, ids binary, tags binary, at binary")
+    # both kinds in one shuffle: nothing is written beside it
+    repeats = found.groupBy("kind", "key").applyInArrow(exact_group(groups), "group long, ids binary, tags binary, at binary")
     texts = docs.mapInArrow(grouped_batches(groups), "group long, doc_id long, text string")
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string")
     clean = digest_group(size) if digest else clean_group(size)
