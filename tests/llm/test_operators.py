@@ -223,3 +223,99 @@ def test_op10(spark, folder, docs):
                 root[max(x, y)] = min(x, y)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows(spark, "op10_simhash", folder)}
     assert got == {d: (f"{prints[d]:016x}", find(d)) for d in ids}
+
+
+# ---- null ids, repeated rows, clashing names, very long texts
+
+ODD = [(None, "aa one two"), (None, "aa one two"), (5, "bb"), (5, "bb"), (None, "cc " * 30), (7, "cc " * 30), (7, "cc " * 30), (8, None), (8, None),
+       (9, "word" + " word" * 30 + " and an end a@b.example 10.0.0.1 password=hunter2hunter2"), (10, "")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with null ids, rows repeated whole, and ids that share texts."""
+    out = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(d, t, "en", "s" if d != 9 else None, len(t or "")) for d, t in ODD],
+                          "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{out}/labels.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_bpe", "op4_substring_dedup", "op6_quality_rules", "op7_secret_scan",
+                                  "op9_lattice_lm", "op10_simhash", "op11_personal_data"])
+def test_null_ids_and_repeated_rows(spark, odd, name):
+    """Every row gets its row; rows repeated whole get equal ones, but for the mix, where copies differ by passes."""
+    got = rows(spark, name, odd)
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in ODD)
+    if name != "op1_mix_sources":
+        for doc in (5, 7, 8):
+            assert len({tuple(sorted(r.items(), key=str)) for r in got if r["doc_id"] == doc}) == 1
+
+
+def test_op4_null_ids_and_repeated_rows(spark, odd):
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows(spark, "op4_substring_dedup", odd))
+    # within the first text every window but the first is a repeat; the null id comes first, and a repeated row is no copy of itself
+    assert got == Counter([(None, 3, 0)] * 2 + [(5, 1, 0)] * 2 + [(None, 30, 29)] + [(7, 30, 30)] * 2 + [(8, 0, 0)] * 2 + [(9, 37, 30), (10, 0, 0)])
+
+
+def test_op8_null_ids_and_repeated_rows(spark, odd):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet/*.parquet')")
+    want = Counter(con.execute(queries.ORACLES["op8_exact_dedup"]).fetchall())
+    got = rows(spark, "op8_exact_dedup", odd)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len({t or "" for _, t in ODD})
+
+
+def test_a_million_words(spark, tmp_path):
+    """One text of a million words, whole: its own repeats are removed."""
+    half = " ".join(f"w{k % 499_979}" for k in range(999_960)) + " a@b.example"
+    docs = [(1, half), (2, "short text")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(spark, "op4_substring_dedup", str(tmp_path))}
+    assert (got[1]["n_words"], got[1]["n_removed"]) == (999_961, 999_960 - 499_979)
+
+
+def test_clashing_names(spark):
+    from newsloom.llm.line_dedup import drop_lines
+    from newsloom.llm.mixing import mixed_documents
+    from newsloom.llm.quality_rules import keep_good
+    from newsloom.llm.simhash import one_of_each
+    names = ["_size", "_rank", "_whole", "_words", "_spans", "_id", "_source", "_n", "_nth", "_passes", "gone", "_gone", "_known", "_doc", "_key",
+             "_text", "doc", "key", "row", "n", "rule", "kept", "label"]
+    texts = [f"this is document number {k} with some words of its own {k * 7} and an end here" for k in range(12)]
+    data = [(k, t, "s", len(t), *[-7 - k] * len(names)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for made in (mixed_documents(docs), drop_lines(docs), one_of_each(docs), keep_good(docs, labels)):
+        assert made.columns == docs.columns
+        for r in made.collect():
+            assert {r[n] for n in names} == {-7 - r.doc_id}
+
+
+def test_lattice_sums_all_segmentations():
+    """The forward recursion against the sum over every way to cut a word into pieces, bytes for letters that are no piece."""
+    import random
+    from newsloom.llm import lattice_lm
+    path = lattice_lm.vocabulary()
+    model = lattice_lm.pieces_of(path)
+    rng = random.Random(1)
+    scores = [rng.uniform(-6, -1) for _ in range(model.get_piece_size())]
+    plain, raw = {}, {}
+    for i, s in enumerate(scores):
+        text = model.id_to_piece(i)
+        if model.is_byte(i):
+            raw[int(text[3:5], 16)] = s
+        elif not model.is_control(i) and not model.is_unknown(i):
+            plain[text] = s
+
+    def cuts(text):
+        if not text:
+            return [0.0]
+        found = [plain[text[:k]] + rest for k in range(1, len(text) + 1) if text[:k] in plain for rest in cuts(text[k:])]
+        if text[0] not in plain:
+            found += [sum(raw[b] for b in text[0].encode()) + rest for rest in cuts(text[1:])]
+        return found
+    held = lattice_lm.Lattice(path, scores)
+    for word in ("a", "the", "tokens", "stream", "Übung", "x\U0001f600y", "antedate"):
+        assert held.score(word) == pytest.approx(math.log10(sum(10 ** x for x in cuts("▁" + word))), abs=1e-9)
