@@ -144,11 +144,22 @@ def h4d(spark, d):
                                             for x in ("same", "div", "linear", "quadratic", "log")])
 
 
-@check("h5_expand_rules")
+@check("h5_expand_rules", with_sql(BASK + [PAIRS, RULES], """
+, nexts AS (SELECT antecedent, list(consequent ORDER BY round(score, 9) DESC, consequent) AS next FROM rules GROUP BY antecedent),
+walk AS (
+  SELECT antecedent AS item_id, list_slice(next, 1, 100) AS items, 0 AS place FROM nexts
+  UNION ALL
+  SELECT w.item_id, list_slice(list_concat(w.items, list_slice(list_filter(coalesce(n.next, []),
+         lambda x: NOT list_contains(w.items, x)), 1, 10)), 1, 100), w.place + 1
+  FROM walk w LEFT JOIN nexts n ON n.antecedent = w.items[w.place + 1]
+  WHERE len(w.items) < 100 AND len(w.items) > w.place)
+SELECT item_id, unnest(items) AS consequent, generate_subscripts(items, 1) AS rank
+FROM (SELECT item_id, arg_max(items, place) AS items FROM walk GROUP BY item_id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def h5(spark, d):
     rows = samples.baskets(spark, d)
     rules = U.train_rules(rows)
-    return U.expand_rules(rules, rows.select("item_id").distinct(), k=100, per_item=10)
+    out = U.expand_rules(rules, rows.select("item_id").distinct(), k=100, per_item=10)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 KNN_SQL = """

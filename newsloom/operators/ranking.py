@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from newsloom.schema import CLICK
+from newsloom.session import materialize
 
 
 def rank_rows(df, by, order, out="rank"):
@@ -49,43 +50,30 @@ def exclude_items(scored, seen, on=None):
     return scored.join(seen, on or ["item_id"], "left_anti")
 
 
-def _places_below(points, key, most):
-    """How many of at most ``most`` sorted points are below the key (halving steps)."""
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
-
-    def step(found, width):
-        there = F.get(F.col(points), found + width - 1)
-        return F.when((found + width <= F.size(points)) & (there < key), found + width).otherwise(found)
-    return F.aggregate(halves, F.lit(0), step)
-
-
-def global_rank(df, order, out="rn", buckets=128, weight=None):
+def global_rank(df, order, out="rn", buckets=None, weight=None):
     """1-based rank over the whole table without pulling it into one task.
 
     With ``weight`` the result is the running sum of that column instead.
     ``order`` lists (column, ascending) pairs that order the rows totally.
-    Split points come from a hash-ordered sample of at most ``buckets`` rows.  Each
-    row finds its bucket from the split points alone, so a lost task recomputes
-    the same bucket; ranks are counted inside buckets and shifted by the bucket
-    totals (at most ``buckets`` rows).
+    The rows are sorted by ranges, as many as the session's shuffle partitions (or
+    ``buckets``), and written once with their place, so that all later steps and lost
+    tasks see the same ranges.  A range's offset is the total of the ranges before it.
     """
-    keys = [F.col(c) if asc else -F.col(c) for c, asc in order]
-    packed = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    tagged = df.withColumn("_k", packed)
-    sample = (tagged.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(buckets - 1)
-              .agg(F.sort_array(F.collect_list("_k")).alias("s")))
-    split_points = sample.scalar()
-    bucketed = (tagged.withColumn("_s", split_points)
-                .withColumn("_b", _places_below("_s", F.col("_k"), buckets))
-                .drop("_s"))
-    totals = bucketed.groupBy("_b").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-    # At most ``buckets`` rows: one small window group.
+    keys = [F.col(c).asc() if ascending else F.col(c).desc() for c, ascending in order]
+    ranged = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys) if buckets else df.orderBy(*keys)
+    # The upper bits of the generated id are the partition, the lower 33 the place in it.
+    placed = materialize(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("_b", F.shiftright("_m", 33))
+    totals = placed.groupBy("_b").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
+    # One row per range: one small window group.
     running = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("_b").orderBy("_k")
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    local = F.sum(weight).over(upto) if weight else F.row_number().over(within)
-    return (bucketed.withColumn("_r", local)
+    if weight:
+        upto = Window.partitionBy("_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+        local = F.sum(weight).over(upto)
+    else:
+        local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (placed.withColumn("_r", local)
             .join(F.broadcast(offsets), "_b")
             .withColumn(out, F.col("_r") + F.col("_o"))
-            .drop("_b", "_r", "_o", "_k"))
+            .drop("_b", "_r", "_o", "_m"))

@@ -77,9 +77,11 @@ def expand_rules(rules, items, k=100, per_item=10, max_depth=None):
     and up to ``per_item`` unseen consequents of each listed item are appended,
     until k are found or the list ends.
 
-    One step handles one list place of all items at once: the item at that place
-    is looked up in a table of ordered consequents.  A list never grows past k, so
-    the loop ends after at most k places; it also ends when no list can grow.
+    One round handles a whole level: every list place added by the round before is
+    looked up in a table of ordered consequents by one join, and the finds are folded
+    into the list in list order.  A level multiplies a list by up to ``per_item``, so
+    two or three rounds fill it; full lists leave the rounds, and a list that did not
+    grow is done.  ``max_depth`` bounds the places walked.
     A table row holds k + per_item consequents: at most k of them can be in the
     list already, so the first unseen ones are always among them.
     """
@@ -90,19 +92,33 @@ def expand_rules(rules, items, k=100, per_item=10, max_depth=None):
     ordered = materialize(ordered, "rule-lists")
     lists = (items.select(F.col("item_id")).distinct()
              .join(ordered, F.col("item_id") == F.col("antecedent"))
-             .select("item_id", F.slice("next", 1, k).alias("items")))
-    place = 0
+             .select("item_id", F.slice("next", 1, k).alias("items"), F.lit(0).alias("walked")))
     limit = k if max_depth is None else min(k, max_depth)
-    while place < limit:
-        open_rows = (F.size("items") < k) & (F.size("items") > place)
-        if lists.filter(open_rows).limit(1).count() == 0:
-            break
-        head = F.when(open_rows, F.try_element_at("items", F.lit(place + 1)))
-        grown = lookup_join(lists.withColumn("_head", head),
-                            ordered.withColumnRenamed("antecedent", "_head"), "_head")
-        fresh = F.slice(F.array_except(F.coalesce("next", F.array().cast("array<bigint>")), F.col("items")), 1, per_item)
-        lists = grown.select("item_id", F.slice(F.concat("items", fresh), 1, k).alias("items"))
-        lists = materialize(lists, "rule-walk")
-        place += 1
+    unfinished = (F.size("items") < k) & (F.size("items") > F.col("walked")) & (F.col("walked") < limit)
+    lists = materialize(lists.withColumn("open", unfinished), "rule-walk")
+    finished = []
+    while lists.filter("open").limit(1).count():
+        finished.append(lists.filter("NOT open"))
+        lists = materialize(_next_level(lists.filter("open"), ordered, k, per_item, limit)
+                            .withColumn("open", unfinished), "rule-walk")
+    for part in finished:
+        lists = lists.unionByName(part)
     return lists.select("item_id", F.posexplode("items").alias("_p", "consequent")).select(
         "item_id", (F.col("_p") + 1).alias("rank"), "consequent")
+
+
+def _next_level(lists, ordered, k, per_item, limit):
+    """Lists after the walk over all places that they had not walked yet."""
+    level = F.slice("items", F.col("walked") + 1, F.least(F.size("items"), F.lit(limit)) - F.col("walked"))
+    heads = lists.select("item_id", F.posexplode(level).alias("_p", "_head"))
+    found = (lookup_join(heads, ordered.withColumnRenamed("antecedent", "_head"), "_head", "inner")
+             .groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("_p", "next"))).alias("_found")))
+
+    def append(so_far, step):
+        fresh = F.slice(F.array_except(step["next"], so_far), 1, per_item)
+        return F.when(F.size(so_far) < k, F.slice(F.concat(so_far, fresh), 1, k)).otherwise(so_far)
+
+    grown = lookup_join(lists, found, "item_id")
+    walked = F.least(F.size("items"), F.lit(limit))
+    return grown.select("item_id", F.aggregate(F.coalesce("_found", F.array()), F.col("items"), append).alias("items"),
+                        walked.alias("walked"))
