@@ -250,6 +250,29 @@ def k1(spark, d):
     return rounded(out)
 
 
+CONTEXT_CODE = """code_{0} AS (SELECT v, code FROM (SELECT {0} AS v, row_number() OVER (ORDER BY count(*) DESC, {0}) + 1 AS code
+  FROM ctx WHERE {0} IS NOT NULL GROUP BY {0} HAVING count(*) >= 5) WHERE code < {1})"""
+
+
+@check("k1_context_features", with_sql(session_ctes(24) + ["""ctx AS (
+  SELECT s.*, n_name AS country, n_regionkey AS region FROM sc s
+  LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = user_id LEFT JOIN nation ON n_nationkey = c_nationkey)""",
+    CONTEXT_CODE.format("event_type", 1000), CONTEXT_CODE.format("country", 12), CONTEXT_CODE.format("region", 1000)], """
+SELECT user_id, session_id, pos, item_id, ts_ms, coalesce(a.code, 1) AS event_type_code, coalesce(b.code, 1) AS country_code,
+       coalesce(c.code, 1) AS region_code
+FROM ctx LEFT JOIN code_event_type a ON a.v = event_type LEFT JOIN code_country b ON b.v = country LEFT JOIN code_region c ON c.v = region"""))
+def k1_context(spark, d):
+    """Codes of kind, country and region of each click; ten countries have a code of their own."""
+    nations = samples.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("country"), F.col("n_regionkey").alias("region"))
+    places = samples.table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("c_custkey").cast("string").alias("user_id"), "country", "region")
+    clicks = samples.sessions(spark, d, 24).join(places, "user_id", "left")
+    cfg = Q.FeatureConfig(context={"device": {"event_type": None}, "location": {"country": 12, "region": None}},
+                          off=("time", "elapsed", "reading"))
+    out = Q.click_features(clicks, samples.catalog(spark, d), cfg, Q.fit_context(clicks, cfg, 5))
+    return out.withColumns({c: F.col(c).cast("long") for c in cfg.columns()})
+
+
 NORM = """((z - zlo + 1e-24) / greatest(zhi - zlo, 2e-24)) * 2 - 1"""
 
 

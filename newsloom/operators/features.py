@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from newsloom.functions import numeric as N
 from newsloom.operators.joins import lookup_join
 from newsloom.operators.ranking import global_rank
+from newsloom.schema import PAD_TOKEN, UNFREQUENT_TOKEN
 
 
 @dataclass
 class FeatureConfig:
-    """Which click features are built; groups can be switched off."""
+    """Which click features are built; groups can be switched off.
+
+    ``context`` names the categorical click columns by group, with the number of codes
+    that a model reserves for each (0 pad, 1 infrequent, then by falling count):
+    {"device": {"os": 10}, "location": {"country": 30, "region": None}}.  None sets no bound.
+    """
 
     timezone: str = "Europe/Oslo"
     centered_weekday: bool = True
@@ -20,12 +26,55 @@ class FeatureConfig:
         "time": ["local_hour_sin", "local_hour_cos", "weekday"],
         "elapsed": ["user_elapsed_ms_since_last_click"],
         "reading": ["active_time_secs_by_word"],
-        "context": [],
     })
+    context: dict = field(default_factory=dict)
     off: tuple = ()
 
+    def dims(self):
+        """Categorical columns in use and their number of codes."""
+        return {c: n for g, cols in self.context.items() if g not in self.off for c, n in cols.items()}
+
     def columns(self):
-        return [c for g, cols in self.groups.items() if g not in self.off for c in cols]
+        return [c for g, cols in self.groups.items() if g not in self.off for c in cols] + [f"{c}_code" for c in self.dims()]
+
+    def types(self):
+        """Feature -> (kind, type, number of codes), as a model's input description."""
+        codes = {f"{c}_code": n for c, n in self.dims().items()}
+        return {c: ("categorical", "int", codes[c]) if c in codes else ("numerical", "double", None) for c in self.columns()}
+
+
+def fit_context(clicks, cfg, min_freq=100):
+    """(feature, value, code) of all categorical columns: one scan, one numbering.
+
+    Codes per feature: 0 pad, 1 infrequent, then by falling count and value.  Values rarer
+    than ``min_freq``, nulls and values beyond the feature's number of codes get no row.
+    """
+    dims = cfg.dims()
+    reserved = [(c, v, i) for c in dims for i, v in enumerate((PAD_TOKEN, UNFREQUENT_TOKEN))]
+    fixed = clicks.sparkSession.createDataFrame(reserved, "feature string, value string, code int")
+    if not dims:
+        return fixed
+    pairs = clicks.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in dims])))
+    counts = (pairs.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("count"))
+              .filter(F.col("count") >= min_freq))
+    ranked = global_rank(counts, [("feature", True), ("count", False), ("value", True)])
+    firsts = ranked.groupBy("feature").agg(F.min("rn").alias("_first"))
+    coded = ranked.join(firsts, "feature").select("feature", "value", (F.col("rn") - F.col("_first") + 2).cast("int").alias("code"))
+    bound = F.lit(None).cast("int")
+    for c, n in dims.items():
+        bound = F.when(F.col("feature") == c, F.lit(n).cast("int")).otherwise(bound)
+    return fixed.unionByName(coded.filter(bound.isNull() | (F.col("code") < bound)))
+
+
+def context_codes(clicks, encoder, cfg, default=1):
+    """``<column>_code`` of each categorical column; values without a code get ``default``."""
+    out = clicks
+    for c in cfg.dims():
+        codes = encoder.filter((F.col("feature") == c) & (F.col("code") > 1)).select(
+            F.col("value").alias("_value"), F.col("code").alias(f"{c}_code"))
+        out = lookup_join(out.withColumn("_value", F.col(c).cast("string")), codes, "_value").drop("_value")
+    return out.withColumns({f"{c}_code": F.coalesce(f"{c}_code", F.lit(default)) for c in cfg.dims()})
 
 
 def active_time_by_word(clicks, articles, default=None, out="active_time_secs_by_word",
@@ -38,13 +87,20 @@ def active_time_by_word(clicks, articles, default=None, out="active_time_secs_by
     return joined.withColumn(out, N.standardize("active_time_secs_by_word", by_word)).drop("_len")
 
 
-def click_features(flat, articles, cfg=FeatureConfig()):
-    """Feature columns of every session click in one projection plus one lookup."""
+def click_features(flat, articles, cfg=FeatureConfig(), encoder=None):
+    """Feature columns of every session click in one projection plus one lookup.
+
+    ``encoder`` (``fit_context``) gives the codes of the categorical columns, one lookup each.
+    """
     sin, cos = N.cyclic(N.local_hour("ts_ms", cfg.timezone))
     timed = (flat.withColumn("local_hour_sin", sin).withColumn("local_hour_cos", cos)
              .withColumn("weekday", N.scale_weekday(N.local_weekday("ts_ms", cfg.timezone), cfg.centered_weekday))
              .withColumn("user_elapsed_ms_since_last_click", N.standardize("elapsed_ms", "elapsed_ms")))
     read = active_time_by_word(timed, articles)
+    if cfg.dims():
+        if encoder is None:
+            raise ValueError("categorical features need an encoder: fit_context(clicks, cfg)")
+        read = context_codes(read, encoder, cfg)
     keys = [c for c in ["user_id", "session_id", "pos", "item_id", "ts_ms"] if c in read.columns]
     return read.select(*keys, *cfg.columns())
 
