@@ -77,11 +77,12 @@ def expand_rules(rules, items, k=100, per_item=10, max_depth=None):
     and up to ``per_item`` unseen consequents of each listed item are appended,
     until k are found or the list ends.
 
-    One round handles a whole level: every list place added by the round before is
-    looked up in a table of ordered consequents by one join, and the finds are folded
-    into the list in list order.  A level multiplies a list by up to ``per_item``, so
-    two or three rounds fill it; full lists leave the rounds, and a list that did not
-    grow is done.  ``max_depth`` bounds the places walked.
+    A round looks up the next list places of all open lists by one join and folds the finds
+    into the lists in list order.  It takes as many places as must be walked to fill the list
+    (each gives at most ``per_item``), or as many as were walked before if that is more: at
+    most twice the places that are needed, in some seven rounds for a list that hardly grows.
+    Full lists leave the rounds, and a list whose places are all walked is done.
+    ``max_depth`` bounds the places walked.
     A table row holds k + per_item consequents: at most k of them can be in the
     list already, so the first unseen ones are always among them.
     """
@@ -99,7 +100,7 @@ def expand_rules(rules, items, k=100, per_item=10, max_depth=None):
     finished = []
     while lists.filter("open").limit(1).count():
         finished.append(lists.filter("NOT open"))
-        lists = materialize(_next_level(lists.filter("open"), ordered, k, per_item, limit)
+        lists = materialize(_next_places(lists.filter("open"), ordered, k, per_item, limit)
                             .withColumn("open", unfinished), "rule-walk")
     for part in finished:
         lists = lists.unionByName(part)
@@ -107,10 +108,13 @@ def expand_rules(rules, items, k=100, per_item=10, max_depth=None):
         "item_id", (F.col("_p") + 1).alias("rank"), "consequent")
 
 
-def _next_level(lists, ordered, k, per_item, limit):
-    """Lists after the walk over all places that they had not walked yet."""
-    level = F.slice("items", F.col("walked") + 1, F.least(F.size("items"), F.lit(limit)) - F.col("walked"))
-    heads = lists.select("item_id", F.posexplode(level).alias("_p", "_head"))
+def _next_places(lists, ordered, k, per_item, limit):
+    """Lists after the walk over the next places that they had not walked yet."""
+    needed = F.ceil((k - F.size("items")) / per_item).cast("int")
+    upto = F.least(F.size("items"), F.lit(limit), F.col("walked") + F.greatest(needed, F.col("walked")))
+    lists = lists.withColumn("_upto", upto)
+    places = F.slice("items", F.col("walked") + 1, F.col("_upto") - F.col("walked"))
+    heads = lists.select("item_id", F.posexplode(places).alias("_p", "_head"))
     found = (lookup_join(heads, ordered.withColumnRenamed("antecedent", "_head"), "_head", "inner")
              .groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("_p", "next"))).alias("_found")))
 
@@ -119,6 +123,5 @@ def _next_level(lists, ordered, k, per_item, limit):
         return F.when(F.size(so_far) < k, F.slice(F.concat(so_far, fresh), 1, k)).otherwise(so_far)
 
     grown = lookup_join(lists, found, "item_id")
-    walked = F.least(F.size("items"), F.lit(limit))
     return grown.select("item_id", F.aggregate(F.coalesce("_found", F.array()), F.col("items"), append).alias("items"),
-                        walked.alias("walked"))
+                        F.col("_upto").alias("walked"))

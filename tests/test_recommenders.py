@@ -73,6 +73,30 @@ def test_expand_rules(spark):
         assert [got[i][r] for r in sorted(got[i])] == want
 
 
+def test_expand_rules_walks_needed_places(spark, monkeypatch):
+    """A round looks up the places that can fill a list, not all of its places; short lists end in few rounds."""
+    ring = [(i, (i + j) % 40, 1.0 / j) for i in range(40) for j in range(1, 9)]  # 8 consequents each
+    ring += [(100 + i, 100 + (i + j) % 5, 1.0 / j) for i in range(5) for j in range(1, 5)]  # a closed group of 5
+    table = spark.createDataFrame(ring, "antecedent long, consequent long, score double")
+    rules = defaultdict(dict)
+    for a, c, score in ring:
+        rules[a][c] = score
+    heads, join = [], U.lookup_join
+
+    def counted(left, right, on, how="left"):
+        if on == "_head":
+            heads.append(left.count())
+        return join(left, right, on, how)
+    monkeypatch.setattr(U, "lookup_join", counted)
+    items = spark.createDataFrame([(a,) for a in rules], "item_id long")
+    got = defaultdict(dict)
+    for r in U.expand_rules(table, items, k=12, per_item=3).collect():
+        got[r.item_id][r.rank] = r.consequent
+    for a in rules:
+        assert [got[a][r] for r in sorted(got[a])] == brute_expand(rules, a, 12, 3)
+    assert heads[0] == 40 * 2 + 5 * 3 and len(heads) <= 5
+
+
 def brute_knn(history, prefix, sample, k_nn):
     cands = []
     for sid in sorted(history, reverse=True):
