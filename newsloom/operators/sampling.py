@@ -26,12 +26,15 @@ def negative_pool(batch, buffer, size, seed=42):
             .filter(F.col("pool_pos") <= size).drop("_h"))
 
 
-def sample_negatives(clicks, buffer, n=50, seed=42, factor=20, buffer_sample=None):
+def sample_negatives(clicks, buffer, n=50, seed=42, factor=20, buffer_sample=None, hourly_steps=False):
     """First ``n`` distinct items per click from the shuffled pool, none of its session.
 
     ``clicks`` carry CLICK, item_id, state_step and event_id; ``buffer`` carries
     state_step, item_id and event_id.  The pool of a step is one array of at most
-    factor * n copies; each click orders it by its own hash key.
+    factor * n copies; each click orders it by its own hash key.  With ``hourly_steps``
+    there is at most one step per hour of the log: that bounds the pools, and they are
+    broadcast, so that the sessions keep their even parts (a shuffled join would merge
+    them by bytes into a few long tasks).
     """
     batch = clicks.select("state_step", "item_id", F.col("event_id").alias("copy_id"))
     recent = buffer.select("state_step", "item_id", F.col("event_id").alias("copy_id"))
@@ -47,13 +50,16 @@ def sample_negatives(clicks, buffer, n=50, seed=42, factor=20, buffer_sample=Non
         F.collect_list("pos").alias("_at"))
     # Each click hashes a whole pool: cost follows sessions, not bytes.
     session_items = session_items.repartition(task_count(clicks.sparkSession), *KEY)
-    joined = lookup_join(session_items, pools, "state_step", "inner")
+    joined = lookup_join(session_items, F.broadcast(pools) if hourly_steps else pools, "state_step", "inner")
     free = joined.withColumn("_pool", F.filter(
         "_pool", lambda c: ~F.array_contains("_own", c["item_id"])))
-    per_click = free.select(*KEY, "state_step", F.explode("_at").alias("pos"), "_pool")
-    keyed = F.array_sort(F.transform("_pool", lambda c: F.struct(
-        hash_key(F.lit(seed), F.col("user_id"), F.col("session_id"), F.col("pos"), c["copy"]).alias("h"),
-        c["item_id"].alias("i"))))
+    # a generator's columns are computed once a click, not once a copy
+    ends = F.transform("_at", lambda p: F.struct(p.alias("pos"), F.concat_ws(
+        "|", F.lit(str(seed)), "user_id", F.col("session_id").cast("string"), p.cast("string")).alias("_key")))
+    per_click = free.select(*KEY, "state_step", "_pool", F.inline(ends))
+    # sort_array compares natively; array_sort would call its comparator for every pair of copies
+    keyed = F.sort_array(F.transform("_pool", lambda c: F.struct(
+        hash_key(F.col("_key"), c["copy"]).alias("h"), c["item_id"].alias("i"))))
     items = F.slice(F.array_distinct(F.transform(keyed, lambda x: x["i"])), 1, n)
     return (per_click.withColumn("_items", items)
             .select(*CLICK, "state_step", F.posexplode("_items").alias("neg_pos", "item_id")))

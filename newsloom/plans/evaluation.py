@@ -91,7 +91,8 @@ class EvaluationInput:
         self.norm_clicks = norm_clicks
         self.popularity = recent_popularity(self.buffer, norm_clicks)
         test_clicks = self.test.select(*CLICK, "item_id", "state_step", "event_id")
-        self.negatives = keep(sample_negatives(test_clicks, self.buffer, n_negatives, seed), "negatives")
+        self.negatives = keep(sample_negatives(
+            test_clicks, self.buffer, n_negatives, seed, hourly_steps=batch_sessions is None), "negatives")
         self.candidates = keep(build_candidates(self.labels, self.negatives), "candidates")
         self.probes = self.candidates.select(*CLICK, "active_item", "item_id", "state_step")
 
