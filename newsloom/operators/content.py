@@ -41,23 +41,24 @@ def build_vocab(tokens, vectors, top_n=100_000):
         "value", (F.col("rn") + 1).cast("int").alias("code"))
     reserved, _ = _reserved(tokens.sparkSession, True, False)
     unknown = tokens.sparkSession.createDataFrame([(UNKNOWN_TOKEN, 1)], "value string, code int")
-    return reserved.unionByName(unknown).unionByName(numbered)
+    # at most top_n rows and two
+    return F.broadcast(reserved.unionByName(unknown).unionByName(numbered))
 
 
 def encode_tokens(articles, vocab, id_col, col="tokens", unknown=1):
     """Token list -> code list (unknown words get code 1) with the text length.
 
-    Each article's distinct words are looked up once and come back as a map, so
-    the shuffle carries distinct words, not every token.
+    Every token looks its code up and goes back to its row by place, so the work of a text
+    grows with its tokens (a map of its words would be searched from the start for each).
     """
-    words = articles.select(id_col, F.explode(F.array_distinct(col)).alias("value"))
-    coded = lookup_join(words, vocab, "value", "inner")
-    maps = coded.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "code"))).alias("_m"))
-    joined = articles.join(maps, id_col, "left")
-    codes = F.transform(col, lambda t: F.coalesce(
-        F.try_element_at(F.coalesce("_m", F.create_map().cast("map<string,int>")), t), F.lit(unknown)))
-    return joined.select(id_col, codes.alias("codes"), F.size(col).alias("text_length"))
+    key, place = "_row", "_place"
+    rows = articles.select(id_col, F.col(col).alias("_t"), F.monotonically_increasing_id().alias(key))
+    words = rows.select(id_col, key, F.size("_t").alias("text_length"), F.posexplode_outer("_t").alias(place, "value"))
+    coded = lookup_join(words, vocab.select("value", "code"), "value")
+    found = F.when(F.col(place).isNotNull(), F.struct(F.col(place), F.coalesce("code", F.lit(unknown)).alias("code")))
+    lists = coded.groupBy(key, id_col, "text_length").agg(F.sort_array(F.collect_list(found)).alias("_l"))
+    codes = F.when(F.col("text_length") >= 0, F.transform("_l", lambda x: x["code"]))
+    return lists.select(id_col, codes.alias("codes"), "text_length")
 
 
 def token_coverage(encoded, unknown=1):
@@ -95,8 +96,8 @@ def tfidf(tokens, id_col, max_df=0.4, min_df=2, max_terms=50_000, ngrams=1, col=
         tokens = ngram_tokens(tokens, 1, ngrams, col)
     tf = (tokens.select(id_col, F.explode(col).alias("term"))
           .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
-    n_docs = tokens.agg(F.count("*")).scalar()
     tf = materialize(tf, "term-counts")
+    n_docs = tokens.agg(F.count("*")).scalar()
     vocab = (tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
              .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
              .orderBy(F.desc("cf"), "term").limit(max_terms)
