@@ -1,12 +1,12 @@
-"""Substring dedup (4): a count-min sketch screens the windows, those estimated repeated are grouped exactly.
+"""Substring dedup (4): a sketch screens the windows, those estimated repeated are grouped exactly.
 
-A window is ``size`` consecutive words of one document. Every task hashes its windows and keeps, for each row of the
-sketch, the cells it hit once and more often; tasks hand on their sketches in blocks of 65,536 cells, and each block
-is merged by itself. What is kept of the merged sketch is one bit a cell: hit twice or more. A repeated window has the bit in
-every row, so none is lost; few others have it. The bits are the only table that all tasks read. Their number follows
-the input up to a bound (``max_cells``); beyond it the sketch fills up, more windows pass, and the exact step does more work.
+A window is ``size`` consecutive words of one document. Every task hashes its windows to some 128 cells a word of the input and
+notes the cells it hit once and more often. It hands them on in ``PARTS`` blocks, however many cells there are, and each block is merged
+by itself. A merged block is a Bloom filter of the cells hit twice or more, two bits a cell inside the block. A repeated window has
+both bits, so none is lost; few others have them. The filters are the only table that all tasks read. Their size follows the input up
+to a bound (``max_cells``); beyond it they fill up, more windows pass, and the exact step does more work.
 
-The second pass hands on the windows with all bits, one per task and window, in bundles by hash range. Each range is sorted
+The second pass hands on the windows with both bits, one per task and window, in bundles by hash range. Each range is sorted
 by (window, doc_id, start); all but the earliest are repeats. A window's identity is a 96-bit hash of its word sequence.
 Repeats return in bundles by document and the words they cover are dropped; windows are judged on the input.
 
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import ship, table
 
 SIZE = 20
-#: Cells of one sketch row, at most: their bits take a 64 MB table per row.
+#: Bits of all filters, at most: 64 MB.
 MAX_CELLS = 1 << 29
-DEPTH = 2
-BLOCK = 1 << 16
+#: Blocks of the sketch, as a power of two: what a task hands on grows with its windows only.
+PARTS = 10
 #: Windows a task holds before it hands them on.
 FLUSH = 2_000_000
 #: Bytes of text that one group of documents holds, about.
@@ -104,8 +104,10 @@ def windows(batches, size, flush=FLUSH):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _cells(one, two, row, bits):
-    return ((one if row == 0 else two + U64(row - 1) * one) >> U64(64 - bits)).astype(np.int64)
+def _spots(cells, fine, bits):
+    """The two filter bits of each cell, both in the block of its highest bits."""
+    block, mixed, inside = cells >> U64(fine - PARTS), _mixed(cells), bits - PARTS
+    return [((block << U64(inside)) + (x & U64((1 << inside) - 1))).astype(np.int64) for x in (mixed, mixed >> U64(32))]
 
 
 def gaps_of(places):
@@ -123,46 +125,59 @@ def places_of(blob):
     return np.cumsum(raw, dtype=np.int64)[raw != 255]
 
 
-def sketch_batches(size, bits, depth):
-    """mapInArrow function: a task's sketch in blocks, with the places hit once and those hit more often."""
+def sketch_batches(size, fine, low):
+    """mapInArrow function: a task's sketch in blocks, the cells hit once and those hit more often.
+
+    The highest bits of a block's cells are handed on as gaps, their ``low`` last bits as they are.
+    """
+    kind = np.uint8 if low <= 8 else np.uint16
+
     def run(batches):
-        for one, two, *_ in windows(batches, size):
-            for row in range(depth):
-                cells, times = np.unique(_cells(one, two, row, bits), return_counts=True)
-                cuts = np.flatnonzero(np.diff(cells >> 16)) + 1
-                places = cells & (BLOCK - 1)
-                blocks, hit, more = [], [], []
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
-                    blocks.append(row << 32 | int(cells[a] >> 16))
-                    again = times[a:b] > 1
-                    hit.append(gaps_of(places[a:b][~again]))
-                    more.append(gaps_of(places[a:b][again]))
-                for k in range(0, len(blocks), 1024):
-                    yield pa.record_batch([pa.array(x[k:k + 1024], t) for x, t in
-                                           ((blocks, pa.int64()), (hit, pa.binary()), (more, pa.binary()))],
-                                          names=["block", "hit", "more"])
+        for one, *_ in windows(batches, size):
+            cells, times = np.unique(one >> U64(64 - fine), return_counts=True)
+            inside = (cells & U64((1 << (fine - PARTS)) - 1)).astype(np.int64)
+            blocks = (cells >> U64(fine - PARTS)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            names, parts = [], []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                again, own = times[a:b] > 1, inside[a:b]
+                names.append(int(blocks[a]))
+                parts.append([x for c in (own[~again], own[again]) for x in (gaps_of(c >> low), (c & ((1 << low) - 1)).astype(kind).tobytes())])
+            for k in range(0, len(names), 256):
+                yield pa.record_batch([pa.array(names[k:k + 256], pa.int64()),
+                                       *[pa.array(list(x), pa.binary()) for x in zip(*parts[k:k + 256])]],
+                                      names=["block", "hit", "hit_low", "more", "more_low"])
     return run
 
 
-def _merge(t: pa.Table) -> pa.Table:
-    times = np.zeros(BLOCK, np.int64)
-    for blob in t.column("hit").to_pylist():
-        times[places_of(blob)] += 1  # a task names each place once
-    for blob in t.column("more").to_pylist():
-        times[places_of(blob)] += 2
-    packed = zstandard.compress(np.packbits(times > 1, bitorder="little").tobytes(), 1)
-    return pa.table({"block": t.column("block")[:1], "bits": pa.array([packed], pa.binary())})
+def _merge(fine, low, bits):
+    kind = np.uint8 if low <= 8 else np.uint16
 
+    def cells_of(t, name):
+        return [(places_of(a) << low) + np.frombuffer(b, kind) for a, b in zip(t.column(name).to_pylist(), t.column(f"{name}_low").to_pylist())]
 
-def repeated_cells(docs, size, bits, depth):
-    """The merged sketch as one array of bits per row: cells hit at least twice. Its size is bounded by ``bits``."""
-    found = docs.mapInArrow(sketch_batches(size, bits, depth), "block long, hit binary, more binary")
-    found = found.groupBy("block").applyInArrow(_merge, "block long, bits binary")
-    rows = [np.zeros(max(BLOCK, 1 << bits) // 8, np.uint8) for _ in range(depth)]
+    def run(t: pa.Table) -> pa.Table:
+        block, width = t.column("block")[0].as_py(), 1 << (bits - PARTS)
+        once = cells_of(t, "hit")
+        more = np.unique(np.concatenate(cells_of(t, "more")))
+        cells = np.sort(np.concatenate([*once, more]))  # a task names each cell once
+        again = np.concatenate([cells[1:][cells[1:] == cells[:-1]], more]) + (block << (fine - PARTS))
+        held = np.zeros(width, np.uint8)
+        for spot in _spots(again.astype(U64), fine, bits):
+            held[spot - block * width] = 1
+        packed = zstandard.compress(np.packbits(held, bitorder="little").tobytes(), 1)
+        return pa.table({"block": t.column("block")[:1], "bits": pa.array([packed], pa.binary())})
+    return run
+
+
+def repeated_cells(docs, size, fine, low, bits):
+    """The filters of all blocks as one array of bits: cells hit at least twice. Its size is bounded by ``bits``."""
+    found = docs.mapInArrow(sketch_batches(size, fine, low), "block long, hit binary, hit_low binary, more binary, more_low binary")
+    found = found.groupBy("block").applyInArrow(_merge(fine, low, bits), "block long, bits binary")
+    out, width = np.zeros((1 << bits) // 8, np.uint8), (1 << (bits - PARTS)) // 8
     for row in found.toLocalIterator(prefetchPartitions=True):
-        at = (row["block"] & 0xFFFFFFFF) * (BLOCK // 8)
-        rows[row["block"] >> 32][at:at + BLOCK // 8] = np.frombuffer(zstandard.decompress(bytes(row["bits"])), np.uint8)
-    return rows
+        out[row["block"] * width:(row["block"] + 1) * width] = np.frombuffer(zstandard.decompress(bytes(row["bits"])), np.uint8)
+    return out
 
 
 def _bundles(keys, columns):
@@ -191,16 +206,14 @@ def _earliest(one, two, ids, tags, at):
     return order, again, again & ~same
 
 
-def candidate_batches(size, bits, sketch, ranges, groups):
+def candidate_batches(size, fine, bits, sketch, ranges, groups):
     """mapInArrow function: windows estimated repeated, by hash range; and repeats found inside the task, by document group."""
     def run(batches):
-        rows = sketch.value
+        held = sketch.value
         for bundle in windows(batches, size):
-            one, two = bundle[:2]
-            keep = np.ones(len(one), bool)
-            for row, held in enumerate(rows):
-                cells = _cells(one, two, row, bits)
-                keep &= (held[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+            keep = np.ones(len(bundle[0]), bool)
+            for spot in _spots(bundle[0] >> U64(64 - fine), fine, bits):
+                keep &= (held[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
             one, two, ids, tags, at = (x[keep] for x in bundle)
             two = (two >> U64(32)).astype(np.uint32)
             order, again, repeat = _earliest(one, two, ids, tags, at)
@@ -275,17 +288,19 @@ def digest_group(size):
     return run
 
 
-def dedup(docs, size=SIZE, max_cells=MAX_CELLS, depth=DEPTH, digest=False):
+def dedup(docs, size=SIZE, max_cells=MAX_CELLS, digest=False):
     """doc_id, n_words, n_removed and the kept words (or their SHA-256) of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = volume // 6 + 1  # words, about: sets the sketch's width only
-    bits = min(max(16, (4 * expected - 1).bit_length()), max_cells.bit_length() - 1)
+    bits = min(max(16, (2 * expected - 1).bit_length()), max_cells.bit_length() - 1)
+    fine = min(max(24, (128 * expected - 1).bit_length()), 42)
+    low = 8 if fine <= 35 else min(fine - 27, 16)
     groups = max(256, volume // GROUP_BYTES)
     ranges = max(256, expected >> 20)
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, bits, depth))
-    found = docs.mapInArrow(candidate_batches(size, bits, sketch, ranges, groups),
+    sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, fine, low, bits))
+    found = docs.mapInArrow(candidate_batches(size, fine, bits, sketch, ranges, groups),
                             "kind int, key long, one binary, two binary, ids binary, tags binary, at binary")
     # both kinds in one shuffle: nothing is written beside it
     repeats = found.groupBy("kind", "key").applyInArrow(exact_group(groups), "group long, ids binary, tags binary, at binary")

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -319,3 +321,26 @@ def test_lattice_sums_all_segmentations():
     held = lattice_lm.Lattice(path, scores)
     for word in ("a", "the", "tokens", "stream", "Übung", "x\U0001f600y", "antedate"):
         assert held.score(word) == pytest.approx(math.log10(sum(10 ** x for x in cuts("▁" + word))), abs=1e-9)
+
+
+def test_sketch_blocks_follow_windows(spark):
+    """A wider sketch makes no more blocks; the filter holds every repeated window, at any width of cells and filter, and few others."""
+    from newsloom.llm import substring_dedup as sub
+    from newsloom.llm.common import ship
+    ship(spark)
+    rng = np.random.default_rng(3)
+    common = " ".join(f"c{k}" for k in range(200))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 1500)) + (f" {common}" if k % 3 == 0 else "") for k in range(60)]
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    counts = [sum(b.num_rows for b in sub.sketch_batches(20, fine, low)([batch])) for fine, low in ((24, 8), (34, 8), (40, 13), (42, 15))]
+    assert max(counts) <= 1 << sub.PARTS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    one = np.concatenate([w[0] for w in sub.windows([batch], 20)])
+    values, times = np.unique(one, return_counts=True)
+    for fine, low, bits in ((24, 8, 16), (34, 8, 18), (40, 13, 20)):
+        held = sub.repeated_cells(docs, 20, fine, low, bits)
+        hit = np.ones(len(values), bool)
+        for spot in sub._spots(values >> np.uint64(64 - fine), fine, bits):
+            hit &= (held[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+        assert hit[times > 1].all() and (times > 1).sum() == 181
+        assert hit[times == 1].mean() < (0.05 if fine == 24 else 0.01)
