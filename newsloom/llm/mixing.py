@@ -80,8 +80,8 @@ def plan(sizes, per, block=BLOCK, shard=SHARD, seed=17):
     blocks = pieces.groupBy("source", "block").agg(F.sum(F.col("z") - F.col("a")).alias("words"))
     blocks = blocks.withColumn("h", _uniform(seed + 1, "source", "block")).withColumn("one", F.lit(1))
     buckets = bucket_count(words // block)
-    blocks = running(blocks, ["source"], ["h", "block"], "one", buckets, "place")
-    blocks = staged(running(blocks, ["source"], ["h", "block"], "words", buckets, "before").drop("h", "one"), "mix-blocks")
+    blocks = running(blocks, ["source"], ["h", "block"], ["one", "words"], buckets, ["place", "before"])
+    blocks = staged(blocks.drop("h", "one"), "mix-blocks")
     owed = per.withColumn("owed", F.floor("target").cast("long")).filter("owed > 0")
     owed = owed.select(F.col("source").alias("o_source"), "owed", (F.col("owed") / F.col("source_size")).cast("long").alias("passes"),
                        (F.col("owed") % F.col("source_size")).alias("left"), "source_size")

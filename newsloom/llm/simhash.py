@@ -259,16 +259,27 @@ def near_groups(docs, size=4, bits=64, pieces=1, radius=4, most=4, chunk=CHUNK):
     return prints.join(nodes, on).select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs, size=5):
+def near_links(docs, size=4, bits=64, pieces=1, radius=4, most=4, chunk=CHUNK):
+    """Links (a, b) between doc_ids that join every two documents of fingerprints at ``most`` or fewer differing bits."""
+    names = [f"f{k}" for k in range(pieces)]
+    prints = staged(fingerprints(docs.filter("doc_id IS NOT NULL"), size, bits, pieces), "simhash-prints")
+    nodes = staged(prints.groupBy(*names).agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
+    equal = prints.join(nodes.withColumnRenamed("doc_id", "a"), names).filter("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    return equal.union(links(nodes, bits, pieces, radius, most, chunk))
+
+
+def one_of_each(docs, size=5, most=None):
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Documents are linked at a Jaccard similarity of their five-word shingles of 0.8 or more, exactly (``near_sets``): masks that
-    cover the bits such pairs differ in would be too many or too narrow to part documents. Null ids stay; of rows that repeat
-    the id that stays, one is kept.
+    cover the bits such pairs differ in would be too many or too narrow to part documents. With ``most``, fingerprints at that many
+    differing bits or fewer are links too, as in ``near_groups``, and the exact join only looks for what they have not connected.
+    Null ids stay; of rows that repeat the id that stays, one is kept.
     """
     from newsloom.llm.near_sets import set_groups  # it builds on this module
 
-    groups = set_groups(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), size)
+    own = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    groups = set_groups(own, size, None if most is None else near_links(own, radius=most, most=most))
     name, = unused(docs, "gone")
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -151,3 +151,17 @@ def test_one_of_each_brute_force(spark):
     want = Counter({find(k) for k in range(len(texts))})
     assert got == want + Counter([None])
     assert 40 < len(want) < len(texts) - 20
+
+
+def test_near_dedup_links_fingerprints(spark):
+    """Texts of one fingerprint but unlike shingle sets are one group, also through a third text; null and repeated ids as before."""
+    loop = "one two three four five " * 400
+    words = [f"w{k}" for k in range(60)]
+    texts = [(1, loop + " ".join(words[:12])), (2, loop + " ".join(words[20:32])), (3, " ".join(words)), (3, " ".join(words)),
+             (4, " ".join(words[:59])), (None, loop), (5, loop + " ".join(words[40:52])), (6, "unlike the others in every way and short")]
+    rows = [r for r in texts if r[0] in (1, 2, 5)]
+    prints = np.array([simhash.fingerprint(t.encode().split(), 4, 64, 1) for _, t in rows], np.uint64)
+    assert all(np.bitwise_count(prints[:1] ^ prints) <= 4)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert Counter(r.doc_id for r in simhash.one_of_each(docs).collect()) == Counter([1, 2, 3, 5, 6, None])
+    assert Counter(r.doc_id for r in pipeline.near_dedup(spark, docs, None).collect()) == Counter([1, 3, 6, None])
