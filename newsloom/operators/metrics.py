@@ -109,15 +109,8 @@ def item_coverage(preds, labels, clicked, buffer, n, by=()):
 
 # ---- diversity ------------------------------------------------------------
 
-def weighted_pairs(preds, labels, n, by=(), rel_neg=0.02, emb=None, catalog=None):
-    """Pairs of each labelled click's list cut at n, with the weight of their distance in each score.
-
-    A list is one row, and its pairs come from its own array: at most n(n-1)/2.
-    Every score but median and minimum is a weighted sum of the pair distances,
-    and the weights depend on places and label only.  Outer weights run over list
-    places before n; inner weights fall with the distance of j behind i, and all
-    places before i weigh 1.  Items without a vector are left out.
-    """
+def click_lists(preds, labels, n, by=(), emb=None, catalog=None):
+    """Each labelled click's list cut at n as one array ``l``, with the label if it is listed; items without a vector are left out."""
     by = list(by)
     rows = _cut(preds, n).select(*by, *CLICK, "rank", "item_id")
     if emb is not None:
@@ -129,8 +122,38 @@ def weighted_pairs(preds, labels, n, by=(), rel_neg=0.02, emb=None, catalog=None
     rows = rows.join(labels.select(*by, *CLICK, "label"), by + CLICK)
     lists = rows.groupBy(*by, *CLICK).agg(
         F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("rank", "item_id", "cat"))).alias("l"))
-    keys = [*by, *CLICK]
-    lists = lists.filter(F.size("l") > 1)
+    listed = F.array_contains(F.transform("l", lambda x: x["item_id"]), F.col("label"))
+    return lists.filter(F.size("l") > 1).withColumn("label", F.when(listed, F.col("label")))
+
+
+LIST = ["_list", "_first", "copies"]
+
+
+def same_lists(lists, by=()):
+    """Clicks with equal lists as one row with their number: the columns of ``LIST`` stand for the click.
+
+    A list's scores depend on its places and the label's alone, and a recommender that goes by the
+    current item gives many clicks the same list: it is scored once, however many clicks have it.
+    A list is named by two hashes, of itself and of one of its clicks.
+    """
+    equal = lists.groupBy(*by, "l", "label").agg(F.min(F.xxhash64(*CLICK)).alias("_first"), F.count("*").alias("copies"))
+    return equal.withColumn("_list", F.xxhash64("l", "label"))
+
+
+def weighted_pairs(preds, labels, n, by=(), rel_neg=0.02, emb=None, catalog=None):
+    """Pairs of each labelled click's list cut at n, with the weight of their distance in each score."""
+    return list_pairs(click_lists(preds, labels, n, by, emb, catalog), n, [*by, *CLICK], rel_neg)
+
+
+def list_pairs(lists, n, keys, rel_neg=0.02):
+    """Pairs of each list with the weight of their distance in each score.
+
+    A list is one row, and its pairs come from its own array: at most n(n-1)/2.
+    Every score but median and minimum is a weighted sum of the pair distances,
+    and the weights depend on places and label only.  Outer weights run over list
+    places before n; inner weights fall with the distance of j behind i, and all
+    places before i weigh 1.
+    """
     # each step's arrays are columns of the next, computed once
     place = F.transform("l", lambda x: F.struct(
         x["rank"].alias("r"), x["item_id"].alias("item"), x["cat"].alias("cat"),
@@ -169,18 +192,29 @@ def weighted_pairs(preds, labels, n, by=(), rel_neg=0.02, emb=None, catalog=None
         (disc_i * F.col("i.rel") / after / F.col("some")).alias("k_mean_rel"))
 
 
-def pair_distances(pairs, emb):
-    """Attach (1 - cosine) / 2; each unordered pair of articles is computed once."""
-    keyed = (pairs.withColumn("_a", F.least("item_i", "item_j"))
-             .withColumn("_b", F.greatest("item_i", "item_j")))
-    sims = pair_vectors(keyed, emb, "_a", "_b")
+def item_pairs(lists):
+    """The pairs of articles in the lists, without places and weights."""
+    firsts = lists.select("l").distinct().select("l", F.explode("l").alias("i"))
+    return firsts.select(F.col("i.item_id").alias("item_i"), F.explode(F.transform(
+        F.filter("l", lambda y: y["rank"] > F.col("i.rank")), lambda y: y["item_id"])).alias("item_j"))
+
+
+def pair_distances(pairs, emb, asked=None):
+    """Attach (1 - cosine) / 2; each unordered pair of articles is computed once.
+
+    ``asked``: the pairs of articles, where they are had with less work than ``pairs``.
+    """
+    def ordered(df):
+        return df.withColumn("_a", F.least("item_i", "item_j")).withColumn("_b", F.greatest("item_i", "item_j"))
+    keyed = ordered(pairs)
+    sims = pair_vectors(keyed if asked is None else ordered(asked), emb, "_a", "_b")
     dist = sims.select("_a", "_b", ((1 - F.col("similarity")) / 2).alias("dist"))
     return lookup_join(keyed, dist, ["_a", "_b"], "inner").drop("_a", "_b")
 
 
-def click_diversity(pairs, by=()):
+def click_diversity(pairs, by=(), click=CLICK):
     """One row per labelled click with every intra-list diversity score."""
-    scores = pairs.groupBy(*by, *CLICK).agg(
+    scores = pairs.groupBy(*by, *click).agg(
         F.avg("dist").alias("ild_avg"), F.min("dist").alias("ild_min"),
         F.sort_array(F.collect_list("dist")).alias("_d"),  # at most n(n-1)/2 values
         F.sum(F.col("dist") * F.col("k_mean")).alias("eild_r_v2"),
@@ -197,17 +231,28 @@ DIVERSITY = ["ild_avg", "ild_median", "ild_min", "eild_r_v2", "eild_r", "eild_rr
              "eild_rr_v2", "category_eild"]
 
 
+def list_means(lists, n, emb, metrics, by=(), rel_neg=0.02):
+    """Mean of the diversity scores over clicks; equal lists are scored once.
+
+    Without vectors the distance is that of the categories.
+    """
+    lists = same_lists(lists, by)
+    pairs = list_pairs(lists, n, [*by, *LIST], rel_neg)
+    pairs = pairs.withColumn("dist", F.col("cat_dist")) if emb is None else pair_distances(pairs, emb, item_pairs(lists))
+    scores = click_diversity(pairs, by, LIST)
+    return scores.groupBy(*by).agg(*[
+        (F.sum(F.col(m) * F.col("copies")) / F.sum(F.when(F.col(m).isNotNull(), F.col("copies")))).alias(m) for m in metrics])
+
+
 def diversity(preds, labels, emb, n, by=(), catalog=None, rel_neg=0.02):
     """Mean of every diversity score per group; the category score is null without a catalogue."""
-    pairs = pair_distances(weighted_pairs(preds, labels, n, by, rel_neg, emb, catalog), emb)
-    means = click_diversity(pairs, by).groupBy(*by).agg(*[F.avg(m).alias(m) for m in DIVERSITY])
+    means = list_means(click_lists(preds, labels, n, by, emb, catalog), n, emb, DIVERSITY, by, rel_neg)
     return means if catalog is not None else means.withColumn("category_eild", F.lit(None).cast("double"))
 
 
 def _one(metric):
     def single(preds, labels, emb, n, by=(), rel_neg=0.02):
-        pairs = pair_distances(weighted_pairs(preds, labels, n, by, rel_neg, emb), emb)
-        return click_diversity(pairs, by).groupBy(*by).agg(F.avg(metric).alias(metric))
+        return list_means(click_lists(preds, labels, n, by, emb), n, emb, [metric], by, rel_neg)
     single.__name__ = metric
     single.__doc__ = f"Mean {metric} of the lists cut at n."
     return single
@@ -220,9 +265,7 @@ eild_rr, eild_rr_v2 = _one("eild_rr"), _one("eild_rr_v2")
 
 def category_eild(preds, labels, catalog, n, by=()):
     """EILD-R with a 0/1 category distance (no vectors needed)."""
-    pairs = weighted_pairs(preds, labels, n, by, catalog=catalog).withColumn("dist", F.col("cat_dist"))
-    return (click_diversity(pairs, by).groupBy(*by)
-            .agg(F.avg("category_eild").alias("category_eild")))
+    return list_means(click_lists(preds, labels, n, by, catalog=catalog), n, None, ["category_eild"], by)
 
 
 ACCURACY = {"hitrate": "hit", "mrr": "rr", "ndcg": "ndcg", "esi_r": "esi_r", "esi_rr": "esi_rr"}

@@ -93,3 +93,18 @@ def test_empty_list_counts_as_miss_and_top1_has_no_esi(spark):
     labels = spark.createDataFrame([("u", 1, 1, 3), ("v", 2, 1, 3)], "user_id string, session_id long, pos int, label long")
     assert M.hit_rate(preds, labels, 1).first().hitrate == .5
     assert M.esi_r(preds, labels, 1).first().esi_r is None
+
+
+def test_equal_lists_are_scored_once(data, spark):
+    """Clicks with one list and label place share a row; means still count every click."""
+    from pyspark.sql import functions as F
+    again = F.explode(F.sequence(F.lit(0), F.col("session_id") % 3))
+    more = [df.withColumn("k", again).withColumn("session_id", F.col("session_id") + 100 * F.col("k")).drop("k") for df in (data["preds"], data["labels"])]
+    lists = M.click_lists(*more, N, emb=data["emb"], catalog=data["cats"])
+    same = M.same_lists(lists)
+    assert lists.count() == 60 and same.count() == 30 and same.select(M.LIST[:2]).distinct().count() == 30
+    alone = M.click_diversity(M.pair_distances(M.weighted_pairs(*more, N, emb=data["emb"], catalog=data["cats"]), data["emb"]))
+    want = alone.agg(*[F.avg(m).alias(m) for m in M.DIVERSITY]).first()
+    got = M.diversity(*more, data["emb"], N, catalog=data["cats"]).first()
+    for m in M.DIVERSITY:
+        assert got[m] == pytest.approx(want[m], abs=1e-9), m
