@@ -38,33 +38,51 @@ def run_batches(stream, handle, checkpoint, mode="append"):
 
 # ---- sessions ---------------------------------------------------------------
 
+def _firsts(rows):
+    """The first click of each article; rows are (ts_ms, event_id, article_id), a missing event comes last of its time."""
+    out, seen = [], set()
+    for row in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
+        if row[2] not in seen:
+            seen.add(row[2])
+            out.append(row)
+    return out
+
+
 def _merged(parts, gap_ms):
     """Open stretches of one user, joined where they are at most ``gap_ms`` apart.
 
-    A stretch is (start, end, table of its articles' first clicks); the tables have one row per article.
+    A stretch is (start, end, its articles' first clicks): one row per article.
     """
     out = []
     for start, end, firsts in sorted(parts, key=lambda p: (p[0], p[1])):
         if out and start - out[-1][1] <= gap_ms:
-            both = pd.concat([out[-1][2], firsts]).sort_values(["ts_ms", "event_id"]).drop_duplicates("article_id")
-            out[-1] = (out[-1][0], max(end, out[-1][1]), both)
+            out[-1] = (out[-1][0], max(end, out[-1][1]), _firsts(out[-1][2] + firsts))
         else:
             out.append((start, end, firsts))
     return out
 
 
-def _stretches(clicks, gap_ms):
-    """A chunk of clicks cut at gaps: (start, end, first click per article) of each stretch."""
-    rows = clicks.sort_values(["ts_ms", "event_id"])
-    number = (rows.ts_ms.diff() > gap_ms).cumsum()
-    return [(int(g.ts_ms.iloc[0]), int(g.ts_ms.iloc[-1]), g.drop_duplicates("article_id")) for _, g in rows.groupby(number.to_numpy())]
+def _stretches(rows, gap_ms):
+    """Clicks of one user cut at gaps: (start, end, first click per article) of each stretch."""
+    parts = []
+    for row in sorted(rows, key=lambda r: r[0]):
+        if not parts or row[0] - parts[-1][-1][0] > gap_ms:
+            parts.append([])
+        parts[-1].append(row)
+    return [(part[0][0], part[-1][0], _firsts(part)) for part in parts]
+
+
+def _numbers(column):
+    """Whole numbers of a column (floats where pandas met nulls)."""
+    return [None if v != v else int(v) for v in column.tolist()]
 
 
 def stream_sessions(clicks, gap="30 minutes", delay="10 minutes", min_items=2):
     """Closed sessions per user: first click per article, ``min_items`` or more.
 
     A user's state is the first click per article of each open stretch, so it is
-    bounded by the different articles, not by the clicks.  Clicks may come late
+    bounded by the different articles, not by the clicks.  A user has few clicks a call:
+    they are plain rows, since a data frame per stretch would cost more than its clicks.  Clicks may come late
     within ``delay`` and join stretches.  An event-time timer closes a stretch
     when the watermark is ``gap`` past its last click.
     """
@@ -75,27 +93,28 @@ def stream_sessions(clicks, gap="30 minutes", delay="10 minutes", min_items=2):
         parts = []
         if state.exists:
             starts, ends, sizes, times, events, articles = state.get
-            held = pd.DataFrame({"ts_ms": list(times), "event_id": list(events), "article_id": list(articles)}, dtype="int64")
+            held = list(zip(times, events, articles))
             at = 0
             for start, end, size in zip(starts, ends, sizes):
-                parts.append((start, end, held.iloc[at:at + size]))
+                parts.append((start, end, held[at:at + size]))
                 at += size
         if not state.hasTimedOut:
             for chunk in chunks:
-                parts = _merged(parts + _stretches(chunk[names], gap_ms), gap_ms)
+                rows = list(zip(*[_numbers(chunk[n]) for n in names]))
+                parts = _merged(parts + _stretches(rows, gap_ms), gap_ms)
         mark = state.getCurrentWatermarkMs()
         done = [p for p in parts if p[1] + gap_ms < mark]
         left = [p for p in parts if p[1] + gap_ms >= mark]
         if left:
-            firsts = pd.concat([p[2] for p in left])
+            firsts = [row for p in left for row in p[2]]
             state.update(([p[0] for p in left], [p[1] for p in left], [len(p[2]) for p in left],
-                          *[firsts[n].tolist() for n in names]))
+                          *[[row[k] for row in firsts] for k in range(len(names))]))
             state.setTimeoutTimestamp(max(mark, min(p[1] for p in left) + gap_ms))
         elif state.exists:
             state.remove()
         sent = [p[2] for p in done if len(p[2]) >= min_items]
         if sent:
-            yield pd.DataFrame({"user_id": [group[0]] * len(sent), "clicks": [f[names].to_dict("records") for f in sent]})
+            yield pd.DataFrame({"user_id": [group[0]] * len(sent), "clicks": [[dict(zip(names, row)) for row in f] for f in sent]})
 
     rows = clicks.withWatermark("ts", delay).select(
         "ts", F.col("user_id").cast("string").alias("user_id"), _ms("ts").alias("ts_ms"), F.col("event_id").cast("long").alias("event_id"),

@@ -147,3 +147,13 @@ def test_live_lists_follow_the_rules(spark):
     J.write_tables(flat([[1, 3], [1, 3], [1, 3]]), tables, 1)
     second = {k: v for k, v in feed([(20, 1), (21, 9)]).items() if k[0] >= 20}
     assert second == {(20, 1): (3, False, "three"), (20, 2): (2, False, "two"), (21, 1): (1, True, "one"), (21, 2): (3, True, "three")}
+
+
+def test_stretches_are_plain_rows():
+    """Cut, joined and reduced without data frames; the event breaks ties of time, a missing one comes last."""
+    rows = [(9, 4, 1), (0, 1, 7), (2, 3, 8), (2, 2, 7), (30, None, 5), (30, 9, 5)]
+    parts = J._stretches(rows, 10)
+    assert parts == [(0, 9, [(0, 1, 7), (2, 3, 8), (9, 4, 1)]), (30, 30, [(30, 9, 5)])]
+    late = J._stretches([(20, 6, 8), (20, 5, 2)], 10)
+    assert J._merged(parts + late, 11) == [(0, 30, [(0, 1, 7), (2, 3, 8), (9, 4, 1), (20, 5, 2), (30, 9, 5)])]
+    assert J._merged(parts + late, 9) == parts[:1] + late + parts[1:]
