@@ -14,6 +14,8 @@ def tune(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Many steps give several rows a row (pairs, lists): parts merged up to the default 64 MB fill a task's memory.
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
 
 
 def table(spark, folder, name):
@@ -59,8 +61,11 @@ def embeddings(spark, folder):
 
 
 def baskets(spark, folder):
-    """Order lines as sessions of parts: distinct parts in shipping order."""
-    lines = table(spark, folder, "lineitem")
+    """Order lines as sessions of parts: distinct parts in shipping order.
+
+    The lines are shuffled once, by order: repeated parts and places are found in the same task.
+    """
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
     first = lines.groupBy("l_orderkey", "l_partkey").agg(F.min(F.struct(
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"),
         "l_linenumber", "l_suppkey")).alias("f"))

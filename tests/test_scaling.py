@@ -1,9 +1,13 @@
 """Steps whose cost must follow the rows: spread hashing, looked-up words, broadcast vectors, texts split once."""
 
 import hashlib
+from collections import Counter
 
-from newsloom.operators import content as Z, sampling as N
-from newsloom.session import task_count
+from pyspark.sql import functions as F
+
+from newsloom.operators import content as Z, recommenders as R, rules as U, sampling as N
+from newsloom.session import fresh_path, task_count
+from newsloom.sources import samples
 
 
 def brute_negatives(user, session, pos, own, copies, n, seed=42):
@@ -70,3 +74,51 @@ def test_skipgram_tasks_end_at_the_cores(spark, monkeypatch):
     few, many = (spark.createDataFrame([(["a", "b"],)] * n, "tokens array<string>") for n in (4, 400))
     assert Z.skipgram_partitions(few, "tokens") == 3
     assert Z.skipgram_partitions(many, "tokens") == spark.sparkContext.defaultParallelism
+
+
+def lines_folder(spark):
+    """Order lines with repeated parts and a repeated row: (order, part, supplier, line, day)."""
+    rows = [(1, 10, 1, 1, 3), (1, 11, 1, 2, 1), (1, 10, 2, 3, 2), (1, 12, 1, 4, 3), (2, 11, 1, 1, 5), (2, 10, 1, 2, 4), (2, 10, 1, 2, 4),
+            (3, 13, 1, 1, 1), (4, 12, 1, 1, 1), (4, 13, 1, 2, 2), (4, 11, 1, 3, 3)]
+    folder = fresh_path(spark, "lines")
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, day int")
+    df.withColumn("l_shipdate", F.expr("timestamp_seconds(day * 86400)")).drop("day").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+BASKETS = {1: [11, 10, 12], 2: [10, 11], 3: [13], 4: [12, 13, 11]}
+
+
+def test_baskets_are_shuffled_once(spark):
+    rows = samples.baskets(spark, lines_folder(spark)).select("session_id", "pos", "item_id", "session_size")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in sorted(rows.collect()):
+        got.setdefault(r.session_id, []).append(r.item_id)
+        assert r.session_size == len(BASKETS[r.session_id])
+    assert got == BASKETS
+
+
+def test_pairs_of_baskets_need_no_second_deal(spark):
+    """One shuffle of the lines and one of the pairs, in parts that adaptive execution keeps small."""
+    pairs = U.cooccurrence(samples.baskets(spark, lines_folder(spark)))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    want = Counter((a, b) for items in BASKETS.values() for a in items for b in items if a != b)
+    assert {(r.item_a, r.item_b): r.n for r in pairs.collect()} == want
+
+
+def test_item_knn_ranks_where_its_pairs_lie(spark):
+    """The current item's support is joined last: the ranks need no shuffle of their own."""
+    pairs = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (1, 3, 1), (3, 1, 1)], "item_a long, item_b long, n long")
+    support = spark.createDataFrame([(1, 4), (2, 3), (3, 1)], "item_id long, support long")
+    active = spark.createDataFrame([("u", 1, 1, 1), ("u", 1, 2, 3)], "user_id string, session_id long, pos int, item_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = R.recommend_item_knn(pairs, support, active, 1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(item_a") == 2  # the pairs and the supports
+        assert {(r.item_id, r.rec_item, r["rank"]) for r in out.collect()} == {(1, 2, 1), (3, 1, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
