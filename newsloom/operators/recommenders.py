@@ -227,9 +227,10 @@ def recommend_cooccurrence(pairs, active, k):
 
 
 def recommend_item_knn(pairs, item_support, active, k, lam=20.0, alpha=0.75):
+    """Best k items by similarity to each current item; its own support is joined last, so its pairs lie together for the ranks."""
     a = item_support.select(F.col("item_id").alias("item_a"), F.col("support").alias("_sa"))
     b = item_support.select(F.col("item_id").alias("item_b"), F.col("support").alias("_sb"))
-    scored = lookup_join(lookup_join(pairs, a, "item_a", "inner"), b, "item_b", "inner")
+    scored = lookup_join(lookup_join(pairs, b, "item_b", "inner"), a, "item_a", "inner")
     scored = scored.withColumn("score", F.round(
         knn_similarity(F.col("n"), F.col("_sa"), F.col("_sb"), lam, alpha), 9))
     best = (top_n(scored, ["item_a"], "score", k, tie="item_b")
