@@ -1,6 +1,9 @@
 """Negative sampling and candidate tables."""
 
-from pyspark.sql import Window, functions as F
+from hashlib import md5
+
+import pyarrow as pa
+from pyspark.sql import Window, functions as F, types as T
 
 from newsloom.operators.joins import lookup_join
 from newsloom.schema import CLICK, KEY
@@ -45,24 +48,53 @@ def sample_negatives(clicks, buffer, n=50, seed=42, factor=20, buffer_sample=Non
                   .filter(F.col("_r") <= buffer_sample).drop("_h", "_r"))
     pools = negative_pool(batch, recent, factor * n, seed).groupBy("state_step").agg(
         F.collect_list(F.struct("item_id", "copy")).alias("_pool"))
+    pools = pools.select("state_step", F.col("_pool.item_id").alias("_items"), F.col("_pool.copy").alias("_copies"))
     session_items = clicks.groupBy(*KEY, "state_step").agg(
         F.collect_set("item_id").alias("_own"),
         F.collect_list("pos").alias("_at"))
     # Each click hashes a whole pool: cost follows sessions, not bytes.
     session_items = session_items.repartition(task_count(clicks.sparkSession), *KEY)
-    joined = lookup_join(session_items, F.broadcast(pools) if hourly_steps else pools, "state_step", "inner")
-    free = joined.withColumn("_pool", F.filter(
-        "_pool", lambda c: ~F.array_contains("_own", c["item_id"])))
-    # a generator's columns are computed once a click, not once a copy
-    ends = F.transform("_at", lambda p: F.struct(p.alias("pos"), F.concat_ws(
-        "|", F.lit(str(seed)), "user_id", F.col("session_id").cast("string"), p.cast("string")).alias("_key")))
-    per_click = free.select(*KEY, "state_step", "_pool", F.inline(ends))
-    # sort_array compares natively; array_sort would call its comparator for every pair of copies
-    keyed = F.sort_array(F.transform("_pool", lambda c: F.struct(
-        hash_key(F.col("_key"), c["copy"]).alias("h"), c["item_id"].alias("i"))))
-    items = F.slice(F.array_distinct(F.transform(keyed, lambda x: x["i"])), 1, n)
-    return (per_click.withColumn("_items", items)
-            .select(*CLICK, "state_step", F.posexplode("_items").alias("neg_pos", "item_id")))
+    keys = F.transform("_at", lambda p: F.concat_ws(
+        "|", F.lit(str(seed)), "user_id", F.col("session_id").cast("string"), p.cast("string")))
+    joined = lookup_join(session_items.withColumn("_keys", keys), F.broadcast(pools) if hourly_steps else pools, "state_step", "inner")
+    picked = T.ArrayType(T.ArrayType(clicks.schema["item_id"].dataType))
+    schema = T.StructType([*[joined.schema[c] for c in [*KEY, "state_step", "_at"]], T.StructField("_picked", picked)])
+    lists = joined.select(*KEY, "state_step", "_at", "_own", "_keys", "_items", "_copies").mapInArrow(_first_items(n), schema)
+    return (lists.select(*KEY, "state_step", F.inline(F.arrays_zip(F.col("_at").alias("pos"), F.col("_picked").alias("_picked"))))
+            .select(*CLICK, "state_step", F.posexplode("_picked").alias("neg_pos", "item_id")))
+
+
+#: Pools that a task keeps decoded.
+KEPT_POOLS = 256
+
+
+def _first_items(n):
+    """Per session row: the first ``n`` distinct pool items of each click in the order of the copies' hashes.
+
+    A column expression that hashes and sorts a pool costs some five times as much.
+    """
+    def order(key, free):
+        head = key.encode() + b"|"
+        hashed = sorted([(md5(head + copy).digest(), item) for copy, item in free])
+        return list(dict.fromkeys([item for _, item in hashed]))[:n]
+
+    def run(batches):
+        pools = {}
+        for batch in batches:
+            col = {name: batch.column(name) for name in batch.schema.names}
+            picked = []
+            for r, (step, own, keys) in enumerate(zip(*[col[c].to_pylist() for c in ("state_step", "_own", "_keys")])):
+                if step not in pools:
+                    if len(pools) >= KEPT_POOLS:
+                        pools.clear()
+                    pools[step] = [(c.encode(), i) for c, i in zip(col["_copies"][r].as_py(), col["_items"][r].as_py()) if i is not None]
+                own = set(own)
+                free = [c for c in pools[step] if c[1] not in own]
+                picked.append([order(key, free) for key in keys])
+            kind = pa.list_(pa.list_(col["_items"].type.value_type))
+            yield pa.RecordBatch.from_arrays(
+                [*[col[c] for c in [*KEY, "state_step", "_at"]], pa.array(picked, kind)], [*KEY, "state_step", "_at", "_picked"])
+    return run
 
 
 def exclude_session_items(candidates, sessions):

@@ -122,3 +122,21 @@ def test_item_knn_ranks_where_its_pairs_lie(spark):
         assert {(r.item_id, r.rec_item, r["rank"]) for r in out.collect()} == {(1, 2, 1), (3, 1, 1)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_negatives_of_null_items_and_more_pools_than_kept(spark, monkeypatch):
+    """A pool is decoded once a task, hashed in Arrow batches; missing items are never drawn."""
+    clicks = [(f"u{s}", s, pos, None if s == 3 else (s + pos) % 5, s % 4, 10 * s + pos) for s in range(12) for pos in (1, 2)]
+    rows = spark.createDataFrame(clicks, "user_id string, session_id long, pos long, item_id long, state_step long, event_id long")
+    buffer = spark.createDataFrame([(k % 4, k % 7, 500 + k // 2) for k in range(40)], "state_step long, item_id long, event_id long")
+    monkeypatch.setattr(N, "KEPT_POOLS", 1)
+    out = N.sample_negatives(rows, buffer, 3, hourly_steps=True)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(out.select("session_id", "pos", "neg_pos", "item_id").collect()):
+        got.setdefault((r.session_id, r.pos), []).append(r.item_id)
+    for _, s, pos, _, step, _ in clicks:
+        own = {c[3] for c in clicks if c[1] == s}
+        copies = [(c[3], f"b:{c[5]}") for c in clicks if c[4] == step] + [(k % 7, f"r:{500 + k // 2}") for k in range(40) if k % 4 == step]
+        keyed = sorted((hashlib.md5(f"42|u{s}|{s}|{pos}|{c}".encode()).hexdigest(), i) for i, c in copies if i is not None and i not in own)
+        assert got[s, pos] == list(dict.fromkeys(i for _, i in keyed))[:3]
