@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 from newsloom.functions.numeric import hash_digits
 from newsloom.operators.sessions import session_clicks
 from newsloom.schema import MS_HOUR
-from newsloom.session import spread
+from newsloom.session import FILE_FACTOR, spread
 
 
 def tune(spark):
@@ -16,6 +16,7 @@ def tune(spark):
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # Many steps give several rows a row (pairs, lists): parts merged up to the default 64 MB fill a task's memory.
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", FILE_FACTOR)
 
 
 def table(spark, folder, name):

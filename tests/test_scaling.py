@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from newsloom.operators import content as Z, recommenders as R, rules as U, sampling as N
-from newsloom.session import fresh_path, task_count
+from newsloom.session import fresh_path, materialize, task_count
 from newsloom.sources import samples
 
 
@@ -76,6 +76,15 @@ def test_skipgram_tasks_end_at_the_cores(spark, monkeypatch):
     assert Z.skipgram_partitions(many, "tokens") == spark.sparkContext.defaultParallelism
 
 
+def test_compressed_tables_are_not_broadcast(spark):
+    """1,500,000 rows of repeated keys: some MB of files, some 50 MB of rows."""
+    samples.tune(spark)
+    keys = spark.range(1_500_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string").alias("user_id"), F.pmod(F.hash("id"), F.lit(7)).alias("pos"))
+    left, right = materialize(keys, "left"), materialize(keys, "right")
+    plan = left.join(right, ["user_id", "pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def lines_folder(spark):
     """Order lines with repeated parts and a repeated row: (order, part, supplier, line, day)."""
     rows = [(1, 10, 1, 1, 3), (1, 11, 1, 2, 1), (1, 10, 2, 3, 2), (1, 12, 1, 4, 3), (2, 11, 1, 1, 5), (2, 10, 1, 2, 4), (2, 10, 1, 2, 4),
