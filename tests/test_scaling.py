@@ -1,8 +1,10 @@
 """Steps whose cost must follow the rows: spread hashing, looked-up words, broadcast vectors, texts split once."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsloom.operators import content as Z, recommenders as R, rules as U, sampling as N
@@ -85,6 +87,28 @@ def test_compressed_tables_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_lsa_follows_the_dense_svd(spark, monkeypatch):
+    """Similarities of texts against numpy; a null text, an empty one, one term order and a text beyond a block."""
+    monkeypatch.setattr(Z, "GRAM_BLOCK", 40)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: [rng.choice(words) for _ in range(rng.randrange(1, 60))] for i in range(120)}
+    texts |= {200: None, 201: [], 202: [w for w in words for _ in range(3)]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>")
+    got = {r.doc_id: np.array(r.embedding) for r in Z.lsa_embeddings(frame, "doc_id", k=5).collect()}
+    assert set(got) == set(texts)
+    grams = {i: Counter(" ".join(t[p:p + n]) for n in (1, 2, 3) for p in range(len(t) - n + 1)) for i, t in ((i, t or []) for i, t in texts.items())}
+    df = Counter(g for c in grams.values() for g in c)
+    terms = [g for g in df if 2 <= df[g] <= 0.4 * len(texts)]
+    rows = np.array([[grams[i][g] * (np.log((1 + len(texts)) / (1 + df[g])) + 1) for g in terms] for i in texts])
+    norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    u, s, _ = np.linalg.svd(norm(rows), full_matrices=False)
+    want, mine = norm((u * s)[:, :5]), np.array([got[i] for i in texts])
+    filled = [n for n, i in enumerate(texts) if texts[i]]
+    # a text far from all five components magnifies the SVD's tolerance
+    assert np.allclose((mine @ mine.T)[np.ix_(filled, filled)], (want @ want.T)[np.ix_(filled, filled)], atol=1e-3)
+
+
 def lines_folder(spark):
     """Order lines with repeated parts and a repeated row: (order, part, supplier, line, day)."""
     rows = [(1, 10, 1, 1, 3), (1, 11, 1, 2, 1), (1, 10, 2, 3, 2), (1, 12, 1, 4, 3), (2, 11, 1, 1, 5), (2, 10, 1, 2, 4), (2, 10, 1, 2, 4),
