@@ -4,9 +4,11 @@ import glob
 import math
 import os
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from newsloom.operators import content as Z
 from newsloom.session import materialize
@@ -71,3 +73,15 @@ def test_a_write_leaves_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and out.count() == 10_000
+
+
+def test_ngram_counts_take_bounded_memory():
+    """A task held some 300 MB of n-grams for a million tokens at once before."""
+    rng = np.random.default_rng(1)
+    lists = pa.array(list(rng.integers(0, 50_000, (2000, 500))), pa.list_(pa.int64()))
+    tracemalloc.start()
+    for out in Z._gram_counts(3)([pa.RecordBatch.from_arrays([lists], ["hashes"])]):
+        assert len(out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
