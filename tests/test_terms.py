@@ -39,21 +39,21 @@ def test_weights_need_no_shuffle(spark):
 
 
 def test_document_vectors_shuffle_sums(spark, monkeypatch):
-    """A word's several vectors all count; no vector is joined to the rows of words."""
+    """A word's several vectors all count, a null vector does not (it ended the query before); no vector is joined to the rows of words."""
     monkeypatch.setattr(Z, "GRAM_BLOCK", 2)
     monkeypatch.setattr(Z, "BATCH_ROWS", 1)
     tokens = spark.createDataFrame(ROWS, "doc_id long, tokens array<string>")
     counted = Z.term_counts(tokens, "doc_id")
     assert {(r.word, r["count"]) for r in Z.word_counts(counted).collect()} == {
         (r.word, r["count"]) for r in Z.word_counts(tokens).collect()}
-    table = [("a", [1.0, 0.0]), ("a", [3.0, 0.0]), ("b", [0.0, 1.0]), ("zz", [9.0, 9.0])]
+    table = [("a", [1.0, 0.0]), ("a", [3.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("zz", [9.0, 9.0])]
     vectors = spark.createDataFrame(table, "word string, vector array<double>")
     out = Z.weighted_doc_vectors(tokens, Z.tfidf(tokens, "doc_id", max_df=0.9, min_df=1, counted=counted), vectors, [0.5, 0.5], "doc_id")
     assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     want, sums = {}, {}
     for (k, t), w in brute_tfidf().items():
         for word, v in table:
-            if word == t and k is not None:
+            if word == t and k is not None and v is not None:
                 total = sums.setdefault(k, [0.0, np.zeros(2)])
                 total[0] += w
                 total[1] = total[1] + w * np.array(v)
